@@ -120,3 +120,17 @@ def lsq_scale_k(volumes: DataFrame, counts: DataFrame, n_counts: int, conf: Mode
     return compare(volumes, counts, n_counts, conf).agg(
         F.try_divide(F.sum(F.col("traffic") * F.col("volume")), F.sum(F.col("volume") * F.col("volume"))).alias("k")
     )
+
+
+def with_margins(od: DataFrame, zoning: Zoning) -> DataFrame:
+    """Each cell with the total of its row and of its column."""
+    rows = margin(od, "origin").withColumnRenamed("total", "row_total")
+    cols = margin(od, "destination").withColumnRenamed("total", "col_total")
+    return od.join(zoning.small(rows), "origin").join(zoning.small(cols), "destination")
+
+
+def by_origin(od: DataFrame) -> DataFrame:
+    """Each origin with its destinations; at most one entry per zone."""
+    return od.groupBy("origin").agg(
+        F.count("*").alias("n_destinations"), F.array_sort(F.collect_list("destination")).alias("destinations")
+    )
