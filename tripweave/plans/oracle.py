@@ -254,8 +254,9 @@ cte("corners", " UNION ALL ".join(
     for i, (a, b, k) in enumerate(start_simplex(FIT_INIT, FIT_SIZE))
 ))
 z_of("corner", "corners")
-cte("halved", """SELECT c.point, (c.a - t.a)*0.5 + t.a a, (c.b - t.b)*0.5 + t.b b, (c.k - t.k)*0.5 + t.k k
-  FROM corners c, (SELECT * FROM corners WHERE point = (SELECT arg_min(point, z) FROM corner_z)) t""")
+# Every corner as the one to halve towards; the corner itself stays where it is, so row (t, t) is its own objective.
+cte("halved", """SELECT 4*t.point + c.point point, (c.a - t.a)*0.5 + t.a a, (c.b - t.b)*0.5 + t.b b, (c.k - t.k)*0.5 + t.k k
+  FROM corners c CROSS JOIN corners t""")
 z_of("halved", "halved")
 
 # chains
@@ -374,7 +375,8 @@ SELECTS = {
     "gravity_od_k": """SELECT origin, destination, round(trips * (SELECT sum(traffic*volume) / sum(volume*volume) FROM tanner_vol), 6) trips
   FROM tanner_od""",
     "simplex_objective": "SELECT point, round(z, 3) z FROM corner_z",
-    "simplex_shrink": "SELECT point, round(z, 3) z FROM halved_z",
+    "simplex_shrink": """SELECT (point % 4)::INTEGER point, round(z, 3) z FROM halved_z
+  WHERE point // 4 = (SELECT arg_min(point // 4, z) FROM halved_z WHERE point // 4 = point % 4)""",
     "assign_v1": "SELECT w.edge_id, round(sum(t.trips), 6) volume FROM walk w JOIN od t USING (origin, destination) GROUP BY 1",
     "assign_v2": "SELECT w.edge_id, round(sum(t.trips), 6) volume FROM walk w JOIN od t USING (origin, destination) GROUP BY 1",
     "calibrate_gm": od(FINAL["gm"]),
