@@ -59,25 +59,38 @@ def collect_paths(pairs: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def counted_incidence(pairs: DataFrame, tree: DataFrame, network: Network, counts: DataFrame, n_counts: int,
-                      conf: ModelConf) -> DataFrame:
+def counted_incidence(pairs: DataFrame, tree: DataFrame, levels: list[DataFrame], network: Network, counts: DataFrame,
+                      n_counts: int, conf: ModelConf) -> DataFrame:
     """``(origin, destination, edge_id)`` for each counted edge on the path of each pair.
 
-    Uncounted links are skipped before any path is walked, so the rows produced are the rows returned.
+    Either walks every path and keeps the counted links, or first shrinks the trees to counted links so that the
+    rows produced are the rows returned.  The sizes decide: walking touches at most pairs times hops,
+    shrinking touches the trees.
     """
     counted_edges = counts.select("edge_id")
     if network.members is None:
         counted_links = counted_edges.select(F.col("edge_id").alias("link_id"), "edge_id")
     else:
         counted_links = network.members.join(counted_edges, "edge_id").select("link_id", "edge_id")
-    shrunk, nearest = counted_tree(tree, counted_links, n_counts, conf)
-    starts = (
-        pairs.where("src <> node").select("src", "node").distinct()
-        .join(nearest, ["src", "node"]).withColumnRenamed("to", "at")
-    )
-    entry = shrunk.select("src", F.col("node").alias("at"), "link_id")
-    hits = walk_up(starts, lift(shrunk)).join(entry, ["src", "at"])
-    hits = hits.join(small(counted_links, n_counts, conf.broadcast_rows), "link_id").select("src", "node", "edge_id")
+    counted_links = small(counted_links, n_counts, conf.broadcast_rows)
+    starts = pairs.where("src <> node").select("src", "node").distinct()
+    if starts.count() * 2 ** (len(levels) - 1) <= tree.count():
+        hits = hits_by_walking(starts, tree, levels)
+    else:
+        hits = hits_by_shrinking(starts, tree, counted_links, n_counts, conf)
+    hits = hits.join(counted_links, "link_id").select("src", "node", "edge_id")
     return pairs.select("origin", "destination", "src", "node").join(hits, ["src", "node"]).select(
         "origin", "destination", "edge_id"
     )
+
+
+def hits_by_walking(starts: DataFrame, tree: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    entry = tree.select("src", F.col("node").alias("at"), "link_id")
+    return walk_up(starts.withColumn("at", F.col("node")), levels).join(entry, ["src", "at"])
+
+
+def hits_by_shrinking(starts: DataFrame, tree: DataFrame, counted_links: DataFrame, n_counts: int, conf: ModelConf) -> DataFrame:
+    shrunk, nearest = counted_tree(tree, counted_links, n_counts, conf)
+    starts = starts.join(nearest, ["src", "node"]).withColumnRenamed("to", "at")
+    entry = shrunk.select("src", F.col("node").alias("at"), "link_id")
+    return walk_up(starts, lift(shrunk)).join(entry, ["src", "at"])

@@ -6,8 +6,9 @@ node and keeps the least offer per ``(src, node)``; the search ends when no labe
 Two ways to run a hop:
 
 * arcs small enough to broadcast: labels are hash-partitioned by ``src`` once, and a job advances several
-  hops without any shuffle.  A source has at most one label per node of that broadcast-sized network, so
-  no partition can hold an unbounded group;
+  hops without any shuffle.  Only the wave of labels that still move takes part in the hops; labels at rest
+  meet it once per job.  A source has at most one label per node of that broadcast-sized network, so no
+  partition can hold an unbounded group;
 * otherwise, or with too few sources to fill the cluster: one hop per job, joined on the node and
   grouped by ``(src, node)`` with map-side partial minima, under adaptive planning (skewed nodes split).
 """
@@ -66,18 +67,27 @@ def search_by_source(state: DataFrame, costs: DataFrame, conf: ModelConf) -> Dat
     stay = costs.select(F.explode(F.array("u", "v")).alias("u")).distinct()
     stay = stay.select("u", F.col("u").alias("v"), F.lit(0.0).alias("cost"))
     table = checkpoint(costs.select("u", "v", "cost").unionByName(stay))
+    moving = live(conf.search_radius)
+
+    def wave_of(start: DataFrame) -> DataFrame:
+        for _ in range(conf.hops_per_round):
+            start = advance(start, table, conf.search_radius)
+        return start
+
     with static_plans(state.sparkSession):
-        while True:
-            for _ in range(conf.hops_per_round):
-                state = advance(state, table, conf.search_radius)
-            state = checkpoint(state)
-            if is_empty(state.where(live(conf.search_radius))):
-                return state
+        # The first labels all move, so nothing is at rest to merge with.
+        state = checkpoint(wave_of(state))
+        while not is_empty(state.where(moving)):
+            state = checkpoint(keep_least(state.where(~moving).unionByName(wave_of(state.where(moving)))))
+    return state
 
 
 def advance(state: DataFrame, table: DataFrame, radius: float) -> DataFrame:
-    """One hop inside each source's partition; ``table`` holds the arcs and a zero-cost arc from each node to
-    itself, so an expanded label is also passed on and a label at rest skips the lookup."""
+    """One hop of the wave inside each source's partition; ``table`` holds the arcs and a zero-cost arc from each
+    node to itself, so an expanded label is also passed on and a label at rest skips the lookup.
+
+    A label reached and passed on within one wave comes out as expanded at that distance; should a better one
+    be at rest already, the least of both distances stands and nothing is expanded twice."""
     reached = F.coalesce("v", "node")
     return (
         state.join(F.broadcast(table), F.when(live(radius), F.col("node")) == F.col("u"), "left")
@@ -90,11 +100,14 @@ def advance(state: DataFrame, table: DataFrame, radius: float) -> DataFrame:
             .otherwise(F.lit(INF))
             .alias("done"),
         )
-        .groupBy("src", "node")
-        .agg(F.min("dist").alias("dist"), F.min("done").alias("done"))
+        .transform(keep_least)
     )
 
 
+def keep_least(offers: DataFrame) -> DataFrame:
+    return offers.groupBy("src", "node").agg(F.min("dist").alias("dist"), F.min("done").alias("done"))
+
+
 def search_by_hop(state: DataFrame, costs: DataFrame, conf: ModelConf) -> DataFrame:
     open_label = live(conf.search_radius)
     while True:
@@ -105,11 +118,7 @@ def search_by_hop(state: DataFrame, costs: DataFrame, conf: ModelConf) -> DataFr
                     F.lit(INF).alias("done"))
         )
         kept = state.withColumn("done", F.when(open_label, F.col("dist")).otherwise(F.col("done")))
-        state = checkpoint(
-            kept.unionByName(offers)
-            .groupBy("src", "node")
-            .agg(F.min("dist").alias("dist"), F.min("done").alias("done"))
-        )
+        state = checkpoint(keep_least(kept.unionByName(offers)))
         if is_empty(state.where(open_label)):
             return state
 

@@ -24,8 +24,10 @@ def shortest_tree(labels: DataFrame, network: Network, conf: ModelConf) -> DataF
     """
     costs = network.arc_costs(conf.length_coef, conf.time_coef)
     if is_empty(costs.where("cost = 0")):
-        return settle(tight_arcs(labels, costs, network.n_arcs, conf), "src", "node")
-    return settle(tree_with_free_arcs(labels, costs, network.n_arcs, conf), "src", "node")
+        found = tight_arcs(labels, costs, network.n_arcs, conf)
+    else:
+        found = tree_with_free_arcs(labels, costs, network.n_arcs, conf)
+    return settle(found, "src", "node", ordered=True)
 
 
 def offers_of(labels: DataFrame, costs: DataFrame, n_arcs: int, conf: ModelConf) -> DataFrame:
@@ -88,7 +90,7 @@ def lift(tree: DataFrame) -> list[DataFrame]:
         low = levels[-1]
         step = low.select("src", F.col("node").alias("up"), F.col("up").alias("next"))
         high = settle(
-            low.join(step, ["src", "up"]).select("src", "node", F.col("next").alias("up")), "src", "node"
+            low.join(step, ["src", "up"]).select("src", "node", F.col("next").alias("up")), "src", "node", ordered=True
         )
         if is_empty(high):
             return levels

@@ -220,7 +220,7 @@ def od_by_origin(d: DriverNetwork) -> DataFrame:
 
 
 def gravity_od_k(d: DriverNetwork) -> DataFrame:
-    return od_rows(d.model.gravity_od_k((*TANNER, 1.0), d.counts))
+    return od_rows(d.model.gravity_od_k((*TANNER, 1.0), d.counted))
 
 
 def base_cells(d: DriverNetwork) -> DataFrame:
@@ -245,6 +245,17 @@ def simplex_shrink(d: DriverNetwork) -> DataFrame:
     return fit.objectives(base, d.counted, points, d.model.zoning).select("point", rounded("z", "z", 3))
 
 
+def simplex_reflect(d: DriverNetwork) -> DataFrame:
+    """Objectives after the worst corner of the start simplex is reflected once."""
+    simplex = fit.start_simplex(FIT_INIT, FIT_SIZE)
+    base = base_cells(d)
+    z = fit.objectives(base, d.counted, [fit.real(p) for p in simplex], d.model.zoning)
+    worst = z.orderBy(F.desc("z"), "point").first()["point"]
+    simplex[worst] = fit.reflect(simplex, worst)
+    points = [fit.real(p) for p in simplex]
+    return fit.objectives(base, d.counted, points, d.model.zoning).select("point", rounded("z", "z", 3))
+
+
 def gravity_od_simplex(d: DriverNetwork) -> DataFrame:
     base = base_cells(d)
     found = fit.fit_simplex(base, d.counted, d.model.zoning, FIT_INIT, FIT_ITERATIONS, FIT_SIZE)
@@ -520,6 +531,7 @@ QUERIES: dict[str, Callable[[DriverNetwork], DataFrame]] = {
     "gravity_od_simplex": gravity_od_simplex,
     "simplex_objective": simplex_objective,
     "simplex_shrink": simplex_shrink,
+    "simplex_reflect": simplex_reflect,
     "assign_v1": assign_v1,
     "assign_v2": assign_v2,
     "calibrate_gm": calibrate("GM"),

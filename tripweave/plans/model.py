@@ -137,11 +137,16 @@ class Model:
 
     # calibration
 
-    def counted(self, od: DataFrame, counts: DataFrame, skim_: Skim | None = None) -> calibration.Counted:
-        """Which counted edges lie on the path of each pair of ``od``."""
-        c = self.counts(counts)
+    def counted(self, od: DataFrame, counts: DataFrame | calibration.Counted, skim_: Skim | None = None) -> calibration.Counted:
+        """Which counted edges lie on the path of each pair of ``od``.
+
+        The methods that take counts also take this result, so that several of them share one set of walks.
+        """
+        if isinstance(counts, calibration.Counted):
+            return counts
+        c, s = self.counts(counts), skim_ or self.skim
         incidence = checkpoint(
-            paths.counted_incidence(self.pairs(od), (skim_ or self.skim).tree, self.network, c.table, c.n, self.conf)
+            paths.counted_incidence(self.pairs(od), s.tree, s.levels, self.network, c.table, c.n, self.conf)
         )
         return calibration.Counted(incidence, c.table, c.n, self.conf)
 

@@ -259,6 +259,14 @@ cte("halved", """SELECT 4*t.point + c.point point, (c.a - t.a)*0.5 + t.a a, (c.b
   FROM corners c CROSS JOIN corners t""")
 z_of("halved", "halved")
 
+# Every corner as the worst one, numbered as above: row (w, w) is the reflection, the others stay; set 4 is the start.
+cte("mirrored", """SELECT 4*w.point + c.point point, CASE WHEN c.point = w.point THEN 2*(s.a - w.a)/3 - w.a ELSE c.a END a,
+  CASE WHEN c.point = w.point THEN 2*(s.b - w.b)/3 - w.b ELSE c.b END b,
+  CASE WHEN c.point = w.point THEN 2*(s.k - w.k)/3 - w.k ELSE c.k END k
+  FROM corners c CROSS JOIN corners w CROSS JOIN (SELECT sum(a) a, sum(b) b, sum(k) k FROM corners) s
+  UNION ALL SELECT 16 + point, a, b, k FROM corners""")
+z_of("mirrored", "mirrored")
+
 # chains
 
 cte("chain_edges", """SELECT edge_id, source_node, target_node, length, travel_time, is_oneway FROM links WHERE source_node % 9 <> 0
@@ -377,6 +385,8 @@ SELECTS = {
     "simplex_objective": "SELECT point, round(z, 3) z FROM corner_z",
     "simplex_shrink": """SELECT (point % 4)::INTEGER point, round(z, 3) z FROM halved_z
   WHERE point // 4 = (SELECT arg_min(point // 4, z) FROM halved_z WHERE point // 4 = point % 4)""",
+    "simplex_reflect": """SELECT (point % 4)::INTEGER point, round(z, 3) z FROM mirrored_z
+  WHERE point // 4 = (SELECT arg_max(point % 4, z) FROM mirrored_z WHERE point // 4 = 4)""",
     "assign_v1": "SELECT w.edge_id, round(sum(t.trips), 6) volume FROM walk w JOIN od t USING (origin, destination) GROUP BY 1",
     "assign_v2": "SELECT w.edge_id, round(sum(t.trips), 6) volume FROM walk w JOIN od t USING (origin, destination) GROUP BY 1",
     "calibrate_gm": od(FINAL["gm"]),

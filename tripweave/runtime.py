@@ -47,11 +47,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def settle(df: DataFrame, *keys: str) -> DataFrame:
-    """Checkpoint ``df`` hash-partitioned by ``keys``; later joins and groupings on them need no shuffle."""
+def settle(df: DataFrame, *keys: str, ordered: bool = False) -> DataFrame:
+    """Checkpoint ``df`` hash-partitioned by ``keys``; later joins and groupings on them need no shuffle.
+
+    ``ordered`` also sorts each partition by the keys, for tables that several merge joins will read.
+    """
     spark = df.sparkSession
     with static_plans(spark):
-        return checkpoint(df.repartition(partitions(spark), *keys))
+        df = df.repartition(partitions(spark), *keys)
+        return checkpoint(df.sortWithinPartitions(*keys) if ordered else df)
 
 
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -60,4 +64,4 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+    return df.limit(1).count() == 0
