@@ -12,18 +12,18 @@ WITH items AS (
 ), sized AS (
   SELECT item_id, w, least(13, len(w)) AS size FROM items WHERE len(w) > 0
 ), windows AS (
-  SELECT item_id, size, array_to_string(w[at : at + size - 1], ' ') AS words
-  FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM sized)
+  SELECT item_id, size, array_to_string(w[pos : pos + size - 1], ' ') AS words
+  FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM sized)
 ), docs AS (
   SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
 ), places AS (
-  SELECT r, at, s.size, array_to_string(w[at : at + s.size - 1], ' ') AS words
-  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS at FROM docs), (SELECT DISTINCT size FROM windows) s
-  WHERE at + s.size - 1 <= len(w)
+  SELECT r, pos, s.size, array_to_string(w[pos : pos + s.size - 1], ' ') AS words
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS pos FROM docs), (SELECT DISTINCT size FROM windows) s
+  WHERE pos + s.size - 1 <= len(w)
 ), hits AS (
-  SELECT DISTINCT r, at, p.size, item_id FROM places p JOIN windows v ON p.words = v.words AND p.size = v.size
+  SELECT DISTINCT r, pos, p.size, item_id FROM places p JOIN windows v ON p.words = v.words AND p.size = v.size
 ), covered AS (
-  SELECT r, count(DISTINCT word) AS n FROM (SELECT r, unnest(range(at, at + size)) AS word FROM hits) GROUP BY r
+  SELECT r, count(DISTINCT word) AS n FROM (SELECT r, unnest(range(pos, pos + size)) AS word FROM hits) GROUP BY r
 ), found AS (
   SELECT r, list_sort(list(DISTINCT item_id)) AS ids FROM hits GROUP BY r
 )
