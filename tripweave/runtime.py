@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; only a local session may fall back to a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, where unset one beside the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tripweave-checkpoint-")
-    context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    return folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
