@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripweave.llm.common import table
 from tripweave.llm.decontaminate import decontaminate
+from tripweave.llm.pieces import digest, encode_decode
+from tripweave.llm.token_files import token_counts
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(spark, table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination,)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op8_sentencepiece)}
