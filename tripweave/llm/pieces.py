@@ -215,7 +215,7 @@ def encode_decode(documents: DataFrame, text: str = "text", model: str = MODEL)
     with open(model, "rb") as f:  # read by the driver and sent on: about half a megabyte
         sent = spark.sparkContext.broadcast(f.read())
     documents = documents.drop("token_ids", "n_tokens", "decoded")
-    schema = T.StructType(documents.schema.fields).add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("decoded", T.StringType())
+    schema = T.StructType(list(documents.schema.fields)).add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("decoded", T.StringType())
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         machine = _on_worker(sent.value)
