@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripweave.llm.common import table
 from tripweave.llm.decontaminate import decontaminate
-from tripweave.llm.pieces import digest, encode_decode
+from tripweave.llm import pieces, secrets
+from tripweave.llm.language import language_id
+from tripweave.llm.line_dedup import line_dedup
+from tripweave.llm.quality import quality
 from tripweave.llm.token_files import token_counts
 
 
@@ -20,9 +23,28 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pieces.digest(pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op8_sentencepiece)}
+    every = (
+        op1_token_counts, op2_decontamination, op3_language_id, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup,
+    )
+    return {f.__name__: f for f in every}
