@@ -51,7 +51,7 @@ def training_sample(labelled: DataFrame, lang: str, text: str, most: int = SAMPL
             for name, value in zip(*(c.to_pylist() for c in batch.columns)):
                 if _LETTER.search(value):
                     best = kept.setdefault(name, {})
-                    best[zlib.crc32(value.encode()) << 32 | zlib.adler32(value.encode())] = value
+                    best[zlib.crc32(value.encode()) << 31 | zlib.adler32(value.encode()) >> 1] = value
                     if len(best) > most:
                         del best[max(best)]
         flat = [(name, at, value) for name, best in kept.items() for at, value in best.items()]
