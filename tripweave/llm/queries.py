@@ -11,6 +11,7 @@ from tripweave.llm.decontaminate import decontaminate
 from tripweave.llm import pieces, secrets
 from tripweave.llm.language import language_id
 from tripweave.llm.line_dedup import line_dedup
+from tripweave.llm.page_text import extract
 from tripweave.llm.quality import quality
 from tripweave.llm.token_files import token_counts
 
@@ -43,8 +44,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_token_counts, op2_decontamination, op3_language_id, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup,
+        op1_token_counts, op2_decontamination, op3_language_id, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup, op10_page_text,
     )
     return {f.__name__: f for f in every}
