@@ -11,6 +11,7 @@ from tripweave.llm.decontaminate import decontaminate
 from tripweave.llm import pieces, secrets
 from tripweave.llm.language import language_id
 from tripweave.llm.line_dedup import line_dedup
+from tripweave.llm.near_vectors import near_vectors
 from tripweave.llm.page_text import extract
 from tripweave.llm.quality import quality
 from tripweave.llm.token_files import token_counts
@@ -28,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,6 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_token_counts, op2_decontamination, op3_language_id, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup, op10_page_text,
+        op1_token_counts, op2_decontamination, op3_language_id, op5_near_vectors, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup, op10_page_text,
     )
     return {f.__name__: f for f in every}
