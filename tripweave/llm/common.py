@@ -27,7 +27,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+# Rows that the JVM and Python hand each other at a time, where the session does not say: texts may be long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -135,6 +146,7 @@ def map_runs(
     df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], size: int = RUN_BYTES
 ) -> DataFrame:
     """Apply ``work`` to record batches of about ``size`` bytes of the column ``text``."""
+    small_batches(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

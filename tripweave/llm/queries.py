@@ -14,6 +14,7 @@ from tripweave.llm.line_dedup import line_dedup
 from tripweave.llm.near_vectors import near_vectors
 from tripweave.llm.page_text import extract
 from tripweave.llm.quality import quality
+from tripweave.llm.shingle_join import jaccard_components
 from tripweave.llm.token_files import token_counts
 
 
@@ -29,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +60,6 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_token_counts, op2_decontamination, op3_language_id, op5_near_vectors, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup, op10_page_text,
+        op1_token_counts, op2_decontamination, op3_language_id, op4_jaccard_join, op5_near_vectors, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup, op10_page_text,
     )
     return {f.__name__: f for f in every}
