@@ -251,14 +251,8 @@ def _list_pairs(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFr
     return pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
-def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``documents``; ids are integers.
-
-    A text's set is its distinct shingles of ``SHINGLE`` words, lower-cased in A-Z; with fewer words all of them are the one shingle. Null
-    texts and texts without words have the empty set, link with nothing and are their own component. Every row stays, repeated
-    ones too. ``component_id`` is the smallest id connected by links; rows without an id take part, but are
-    named only if no other row is connected. Other columns are not read.
-    """
+def _with_components(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, row, n, node, component_id`` of every row; ``node`` names its component, null without words."""
     spark = documents.sparkSession
     order = spark.sparkContext.broadcast(_order_table(documents, text))
     rows = saved(_described(documents, key, text, order))
@@ -283,9 +277,33 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
         known = _checked(left, classes, documents, key, text, known)
         labels = _labels(known)
 
-    named = classes.join(labels, "node", "left").select("one", "two", "key", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("key").alias("component_id"))
-    by_set = named.drop("key").join(smallest, "component").drop("component")
-    joined = rows.select("key", "n", "one", "two").join(by_set, ["one", "two"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    named = classes.join(labels, "node", "left").select("one", "two", "key", F.coalesce("component", "node").alias("node"))
+    smallest = named.groupBy("node").agg(F.min("key").alias("component_id"))
+    by_set = named.drop("key").join(smallest, "node")
+    words = rows.select("key", "row", "n", F.when(F.col("n") > 0, F.col("one")).alias("one"), "two")
+    return words.join(by_set, ["one", "two"], "left").select("key", "row", "n", "node", F.coalesce("component_id", "key").alias("component_id"))
+
+
+def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``documents``; ids are integers.
+
+    A text's set is its distinct shingles of ``SHINGLE`` words, lower-cased in A-Z; with fewer words all of them are the one shingle. Null
+    texts and texts without words have the empty set, link with nothing and are their own component. Every row stays, repeated
+    ones too. ``component_id`` is the smallest id connected by links; rows without an id take part, but are
+    named only if no other row is connected. Other columns are not read.
+    """
+    found = _with_components(documents, key, text)
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with one row of each component: that of the smallest id (of equal ids, one of them).
+
+    Rows without words are in no component and all stay.
+    """
+    found = saved(_with_components(documents, key, text))
+    kept = found.where("n > 0").groupBy("node").agg(F.min(F.struct("key", "row")).alias("first")).select(F.col("first.row").alias("_row"))
+    named = documents.drop("_row").withColumn("_row", F.xxhash64(key, text))
+    empty = ~F.coalesce(F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    one = named.where(~empty).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return one.unionByName(named.where(empty)).select(*documents.columns)
