@@ -38,7 +38,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 PLAIN, PROSE, BESIDE = 0, 1, 2  # a line outside an article, inside one, or in a part that is no text of the page
-COPY_SHARE = 0.8  # a partner that shares more of the unmarked lines is a copy of the page and says nothing about it
+COPY_SHARE = 0.95  # a partner that shares more of the unmarked text is a copy of the page and says nothing about it
 ALIGN_CELLS = 1 << 26
 
 
@@ -191,7 +191,7 @@ def main_text(lines: list[str], parts: list[int], partner: list[str] | None) ->
     shared = common_lines(lines, partner) if partner else set()
     plain = [i for i, part in enumerate(parts) if part == PLAIN]
     has_prose = any(part == PROSE for part in parts)
-    if not has_prose and sum(i in shared for i in plain) > COPY_SHARE * len(plain):
+    if not has_prose and sum(len(lines[i]) for i in plain if i in shared) > COPY_SHARE * sum(len(lines[i]) for i in plain):
         shared = set()
     return " ".join(
         line for i, (line, part) in enumerate(zip(lines, parts)) if part == PROSE or part == PLAIN and not has_prose and i not in shared
