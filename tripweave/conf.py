@@ -46,6 +46,8 @@ class ModelConf:
         """Return a copy with one parameter changed; unknown names raise."""
         if variable not in SETTERS:
             raise ValueError(f"unknown variable {variable!r}; use one of {', '.join(SETTERS)}")
+        if variable in ("length_coef", "time_coef") and not float(value) >= 0:
+            raise ValueError(f"{variable} must not be negative or undefined: {value}")
         if variable != "F":
             return replace(self, **{SETTERS[variable]: float(value)})
         if not callable(value) and value not in DETERRENCE:

@@ -51,9 +51,11 @@ class Network:
         return endpoints(self.links).distinct()
 
     def arc_costs(self, length_coef: float, time_coef: float) -> DataFrame:
-        """``(link_id, u, v, cost)`` for the given weights."""
+        """``(link_id, u, v, cost)`` for the given weights; arcs of infinite or undefined cost lead nowhere and are left out."""
+        if not (length_coef >= 0 and time_coef >= 0):
+            raise ValueError(f"weights must not be negative or undefined: {length_coef}, {time_coef}")
         cost = edge_cost(F.col("length"), F.col("travel_time"), length_coef, time_coef)
-        return self.arcs.select("link_id", "u", "v", cost.alias("cost"))
+        return self.arcs.select("link_id", "u", "v", cost.alias("cost")).where(F.col("cost") < float("inf"))
 
     def link_count(self) -> int:
         return self.links.count()

@@ -12,9 +12,13 @@ from tripweave.runtime import small
 
 
 def at_nodes(pairs: DataFrame, zones: DataFrame, n_zones: int, conf: ModelConf) -> DataFrame:
-    """Add the nodes of ``origin`` and ``destination`` as ``src`` and ``node``."""
+    """Add the nodes of ``origin`` and ``destination`` as ``src`` and ``node``; a zone that ``zones`` does not have raises."""
     start = zones.select(F.col("zone_id").alias("origin"), F.col("node_id").alias("src"))
     end = zones.select(F.col("zone_id").alias("destination"), F.col("node_id").alias("node"))
+    used = pairs.select(F.explode(F.array("origin", "destination")).alias("zone_id")).distinct()
+    lost = used.join(zones.select("zone_id"), "zone_id", "left_anti").take(5)
+    if lost:
+        raise ValueError(f"pairs of zones that the model does not have, e.g. {[r[0] for r in lost]}")
     return pairs.join(small(start, n_zones, conf.broadcast_rows), "origin").join(
         small(end, n_zones, conf.broadcast_rows), "destination"
     )

@@ -1,7 +1,7 @@
 """A road network derived from the driver's order tables, so that it grows with them.
 
 Customers stand on a grid of streets with express links; a zone is a block of 53 neighbours that sends and draws as
-many trips as the block has orders; counters on the streets read the line items of a supplier.
+many trips as the block has orders; every supplier's line items pass one counter on the streets. Customer keys count from 0.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from tripweave.runtime import checkpoint
 # Fixed values of the derived network.
 BLOCK, CENTRE = 53, 7
 EXPRESS = 8
-COUNTER_STEP, COUNTER_REST = 11, 4
+COUNTER_STEP, COUNTER_FIRST = 11, 5
 LENGTH_COEF, TIME_COEF = 0.75, 0.25
+# How far the model's trips go: a parameter of the model like the weights, the same at every size of the tables.
+SEARCH_RADIUS = 40.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,35 +58,41 @@ def derive_edges(customers: DataFrame) -> DataFrame:
 
 
 def derive_zones(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    block = F.col("o_custkey") - F.col("o_custkey") % BLOCK + CENTRE
-    trips = orders.groupBy(block.alias("node_id")).agg(F.count("*").cast("double").alias("trips"))
-    centres = customers.select(F.col("c_custkey").alias("node_id")).where(F.col("node_id") % BLOCK == CENTRE)
-    return trips.join(centres, "node_id").select(
-        F.floor(F.col("node_id") / float(BLOCK)).cast("long").alias("zone_id"), "node_id", "trips"
-    )
+    """Trips per block; customers behind the last centre belong to the block before."""
+    n = customers.count()
+    centre = F.col("o_custkey") - F.col("o_custkey") % BLOCK + CENTRE
+    node = F.when(centre < n, centre).otherwise(F.greatest(centre - BLOCK, F.lit(0)))
+    trips = orders.groupBy(node.alias("node_id")).agg(F.count("*").cast("double").alias("trips"))
+    return trips.select(F.floor(F.col("node_id") / float(BLOCK)).cast("long").alias("zone_id"), "node_id", "trips")
+
+
+def counter_places(customers: DataFrame) -> int:
+    """Number of counters: on every eleventh node's street down the grid, where there is one."""
+    n = customers.count()
+    return max(1, (n - math.isqrt(n) - COUNTER_FIRST - 1) // COUNTER_STEP + 1)
 
 
-def derive_counts(edges: DataFrame, lineitem: DataFrame, suppliers: DataFrame) -> DataFrame:
-    n = suppliers.count()
-    supplied = lineitem.groupBy("l_suppkey").agg(F.count("*").cast("double").alias("traffic"))
-    counters = edges.where(
-        (F.col("edge_id") % COUNTER_STEP == COUNTER_REST) & (F.col("source_node") != F.col("target_node"))
-    ).select("edge_id", (F.col("edge_id") % n).alias("l_suppkey"))
-    return counters.join(supplied, "l_suppkey").select("edge_id", "traffic")
+def derive_counts(customers: DataFrame, lineitem: DataFrame) -> DataFrame:
+    place = F.pmod(F.coalesce("l_suppkey", F.lit(0)), F.lit(counter_places(customers)))
+    edge = 5 * (COUNTER_STEP * place + COUNTER_FIRST) + 1
+    return lineitem.groupBy(edge.cast("long").alias("edge_id")).agg(F.count("*").cast("double").alias("traffic"))
 
 
 def derive_chains(edges: DataFrame) -> DataFrame:
-    """Split every ninth node's outgoing edges in three, which makes chains to merge again."""
+    """Split every ninth node's outgoing edges in three, which makes chains to merge again.
+
+    Edge ``e`` keeps the id ``4 * e``, its parts get the three behind; new nodes have negative ids, so no two ever meet.
+    """
     split = (F.col("source_node") != F.col("target_node")) & (F.col("source_node") % 9 == 0)
-    first, second = 10_000_000 + 2 * F.col("edge_id"), 10_000_001 + 2 * F.col("edge_id")
+    first, second = -2 * F.col("edge_id") - 1, -2 * F.col("edge_id") - 2
 
     def part(i: int, start, end, share: float):
         return F.struct(
-            (1_000_000 + 3 * F.col("edge_id") + i).alias("edge_id"), start.alias("source_node"), end.alias("target_node"),
+            (4 * F.col("edge_id") + 1 + i).alias("edge_id"), start.alias("source_node"), end.alias("target_node"),
             (F.col("length") * share).alias("length"), (F.col("travel_time") * share).alias("travel_time"), "is_oneway",
         )
 
-    whole = F.struct("edge_id", "source_node", "target_node", "length", "travel_time", "is_oneway")
+    whole = F.struct((4 * F.col("edge_id")).alias("edge_id"), "source_node", "target_node", "length", "travel_time", "is_oneway")
     parts = F.array(
         part(0, F.col("source_node"), first, 0.25), part(1, first, second, 0.25),
         part(2, second, F.col("target_node"), 0.5),
@@ -98,7 +106,8 @@ class DriverNetwork:
     def __init__(self, spark: SparkSession, sf_dir: str, **options):
         self.spark, self.sf_dir = spark, sf_dir
         self.conf = ModelConf(
-            length_coef=LENGTH_COEF, time_coef=TIME_COEF, alpha=1.0, beta=-0.05, deterrence="exponencial", **options
+            length_coef=LENGTH_COEF, time_coef=TIME_COEF, alpha=1.0, beta=-0.05, deterrence="exponencial",
+            **{"search_radius": SEARCH_RADIUS} | options,
         )
 
     def table(self, name: str) -> DataFrame:
@@ -114,7 +123,7 @@ class DriverNetwork:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return derive_counts(self.edges, self.table("lineitem"), self.table("supplier"))
+        return derive_counts(self.table("customer"), self.table("lineitem"))
 
     @cached_property
     def network(self) -> Network:

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import re
 
-from tripweave.operators.fit import start_simplex
 from tripweave.plans.catalog import (
-    FIT_INIT, FIT_SIZE, LAGRANGE_M, LAGRANGE_S, LAGRANGE_SCALE, LIMITS, RADIUS, ROUNDS, TANNER,
+    FIT_INIT, FIT_ITERATIONS, FIT_SIZE, LAGRANGE_M, LAGRANGE_S, LAGRANGE_SCALE, LIMITS, RADIUS, ROUNDS, TANNER,
 )
+from tripweave.plans.driver_network import SEARCH_RADIUS
 
 CTES: dict[str, str] = {}
 
@@ -32,18 +32,16 @@ cte("links", "SELECT * FROM edges WHERE source_node <> target_node")
 cte("arcs", """SELECT edge_id, source_node u, target_node v, length, travel_time, 0.75*length + 0.25*travel_time c FROM links
   UNION ALL SELECT edge_id, target_node, source_node, length, travel_time, 0.75*length + 0.25*travel_time
   FROM links WHERE NOT is_oneway""")
-cte("zones", """SELECT floor(z.c_custkey/53.0)::BIGINT zone_id, z.c_custkey node_id, count(*)::DOUBLE trips
-  FROM customer z JOIN orders o ON o.o_custkey - o.o_custkey % 53 + 7 = z.c_custkey
-  WHERE z.c_custkey % 53 = 7 GROUP BY z.c_custkey""")
-cte("counts", """SELECT e.edge_id, s.traffic FROM links e
-  JOIN (SELECT l_suppkey, count(*)::DOUBLE traffic FROM lineitem GROUP BY 1) s
-    ON s.l_suppkey = e.edge_id % (SELECT count(*) FROM supplier)
-  WHERE e.edge_id % 11 = 4""")
+cte("zones", """SELECT floor(node_id/53.0)::BIGINT zone_id, node_id, count(*)::DOUBLE trips FROM
+  (SELECT CASE WHEN o_custkey - o_custkey % 53 + 7 < n THEN o_custkey - o_custkey % 53 + 7
+    ELSE greatest(o_custkey - o_custkey % 53 - 46, 0) END node_id FROM orders, dims) GROUP BY node_id""")
+cte("counts", """SELECT 5 * (11 * (coalesce(l_suppkey, 0) % places) + 5) + 1 edge_id, count(*)::DOUBLE traffic
+  FROM lineitem, (SELECT greatest(1, (n - w - 6) // 11 + 1) places FROM dims) GROUP BY 1""")
 cte("degree", "SELECT node, count(*) degree FROM (SELECT source_node node FROM links UNION ALL SELECT target_node FROM links) GROUP BY 1")
 
 
-def labels(name: str, radius: float | None) -> None:
-    near = "" if radius is None else f"WHERE l.dist <= {radius}"
+def labels(name: str, radius: float) -> None:
+    near = f"WHERE l.dist <= {radius}"
     cte(name, f"""SELECT DISTINCT node_id, node_id, 0.0::DOUBLE FROM zones
   UNION
   SELECT n.src, n.node, n.dist FROM
@@ -52,8 +50,8 @@ def labels(name: str, radius: float | None) -> None:
   WHERE r.dist IS NULL OR n.dist < r.dist""", "(src, node, dist) USING KEY (src, node)")
 
 
-def tree(name: str, labels_name: str, radius: float | None) -> None:
-    near = "" if radius is None else f"AND l.dist <= {radius}"
+def tree(name: str, labels_name: str, radius: float) -> None:
+    near = f"AND l.dist <= {radius}"
     cte(name, f"""SELECT v.src, v.node, min(a.edge_id) edge_id, arg_min(a.u, a.edge_id) up
   FROM {labels_name} v JOIN arcs a ON a.v = v.node
   JOIN {labels_name} l ON l.src = v.src AND l.node = a.u AND l.dist + a.c = v.dist {near}
@@ -72,9 +70,9 @@ def walk(name: str, pairs: str, tree_name: str) -> None:
   max(back) OVER (PARTITION BY origin, destination) - back + 1 seq FROM {name}_back""")
 
 
-labels("lab", None)
+labels("lab", SEARCH_RADIUS)
 labels("lab_near", RADIUS)
-tree("tree", "lab", None)
+tree("tree", "lab", SEARCH_RADIUS)
 tree("tree_near", "lab_near", RADIUS)
 for suffix in ("", "_near"):
     cte(f"pairs{suffix}", f"""SELECT o.zone_id origin, d.zone_id destination, l.dist AS cost FROM lab{suffix} l
@@ -249,10 +247,10 @@ def z_of(name: str, points: str) -> None:
    JOIN counts c ON c.edge_id = i.edge_id GROUP BY 1, 2, 3) GROUP BY 1""")
 
 
-cte("corners", " UNION ALL ".join(
-    f"SELECT {i}::INTEGER point, {a!r}::DOUBLE a, {b!r}::DOUBLE b, {k!r}::DOUBLE k"
-    for i, (a, b, k) in enumerate(start_simplex(FIT_INIT, FIT_SIZE))
-))
+# The published start: one corner, and three that lie 3 * size / (3 * sqrt(2)) from it in two of the three parameters.
+cte("corners", f"""SELECT point, {FIT_INIT[0]}*10 + da*far a, {FIT_INIT[1]}*10 + db*far b, {FIT_INIT[2]} + dk*far k
+  FROM (VALUES (0::INTEGER, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1, 1), (2, 1, 0, 1), (3, 1, 1, 0)) c(point, da, db, dk),
+  (SELECT {FIT_SIZE}::DOUBLE / sqrt(2) far)""")
 z_of("corner", "corners")
 # Every corner as the one to halve towards; the corner itself stays where it is, so row (t, t) is its own objective.
 cte("halved", """SELECT 4*t.point + c.point point, (c.a - t.a)*0.5 + t.a a, (c.b - t.b)*0.5 + t.b b, (c.k - t.k)*0.5 + t.k k
@@ -267,12 +265,38 @@ cte("mirrored", """SELECT 4*w.point + c.point point, CASE WHEN c.point = w.point
   UNION ALL SELECT 16 + point, a, b, k FROM corners""")
 z_of("mirrored", "mirrored")
 
+# The whole fit, one statement a step: reflect the worst corner, or halve the simplex if the same one is worst again.
+STEPS = 2 * FIT_ITERATIONS - 1  # a halving never follows a halving, and the first step reflects
+
+
+def fit_step(i: int) -> None:
+    """Simplex ``fit{i}(point, a, b, k, z, last, done)`` after one more step; once all reflections are done it stays."""
+    old = f"fit{i - 1}"
+    cte(f"fit{i}_plan", f"""SELECT *, CASE WHEN done >= {FIT_ITERATIONS} THEN 'stay' WHEN worst = last THEN 'halve' ELSE 'reflect' END what FROM
+  (SELECT min(last) last, min(done) done, sum(a) sa, sum(b) sb, sum(k) sk FROM {old}),
+  (SELECT point worst FROM {old} ORDER BY z DESC, point LIMIT 1),
+  (SELECT point best, a best_a, b best_b, k best_k FROM {old} ORDER BY z, point LIMIT 1)""")
+    new = lambda x: f"""CASE WHEN what = 'reflect' AND point = worst THEN 2*(s{x} - {x})/3.0 - {x}
+    WHEN what = 'halve' AND point <> best THEN ({x} - best_{x})*0.5 + best_{x} ELSE {x} END"""
+    cte(f"fit{i}_moved", f"""SELECT point, {new('a')} a, {new('b')} b, {new('k')} k, z,
+    CASE what WHEN 'reflect' THEN worst WHEN 'halve' THEN -1 ELSE last END new_last, done + (what = 'reflect')::INTEGER done,
+    what = 'reflect' AND point = worst OR what = 'halve' fresh FROM (SELECT point, a, b, k, z FROM {old}), fit{i}_plan""")
+    z_of(f"fit{i}_new", f"(SELECT point, a, b, k FROM fit{i}_moved WHERE fresh)")
+    cte(f"fit{i}", f"SELECT m.point, a, b, k, coalesce(n.z, m.z) z, new_last last, done FROM fit{i}_moved m LEFT JOIN fit{i}_new_z n USING (point)")
+
+
+cte("fit0", "SELECT c.point, a, b, k, z, -1 last, 0 done FROM corners c JOIN corner_z USING (point)")
+for i_ in range(1, STEPS + 1):
+    fit_step(i_)
+cte("fit_best", f"SELECT 0 point, a, b, k FROM fit{STEPS} ORDER BY z, point LIMIT 1")
+z_of("fit_last", "fit_best")
+
 # chains
 
-cte("chain_edges", """SELECT edge_id, source_node, target_node, length, travel_time, is_oneway FROM links WHERE source_node % 9 <> 0
+cte("chain_edges", """SELECT 4*edge_id edge_id, source_node, target_node, length, travel_time, is_oneway FROM links WHERE source_node % 9 <> 0
   UNION ALL
-  SELECT 1000000 + 3*edge_id + i, CASE i WHEN 0 THEN source_node WHEN 1 THEN 10000000 + 2*edge_id ELSE 10000001 + 2*edge_id END,
-    CASE i WHEN 0 THEN 10000000 + 2*edge_id WHEN 1 THEN 10000001 + 2*edge_id ELSE target_node END,
+  SELECT 4*edge_id + 1 + i, CASE i WHEN 0 THEN source_node WHEN 1 THEN -2*edge_id - 1 ELSE -2*edge_id - 2 END,
+    CASE i WHEN 0 THEN -2*edge_id - 1 WHEN 1 THEN -2*edge_id - 2 ELSE target_node END,
     length*share, travel_time*share, is_oneway
   FROM links, (VALUES (0, 0.25), (1, 0.25), (2, 0.5)) s(i, share) WHERE source_node % 9 = 0""")
 cte("chain_ways", """SELECT edge_id, source_node a, target_node b, length, travel_time, true is_open FROM chain_edges
@@ -360,9 +384,9 @@ SELECTS = {
     "counted_incidence": "SELECT origin, destination, edge_id FROM inc",
     "chain_contraction": """SELECT CASE WHEN along THEN start ELSE node END source_node, CASE WHEN along THEN node ELSE start END target_node,
   length, travel_time, NOT (along AND against) is_oneway FROM chain_pair WHERE along OR against""",
-    "chain_merge": """SELECT CASE WHEN source_node % 9 = 0 THEN 1000000 + 3*edge_id ELSE edge_id END link_id, source_node, target_node,
+    "chain_merge": """SELECT CASE WHEN source_node % 9 = 0 THEN 4*edge_id + 1 ELSE 4*edge_id END link_id, source_node, target_node,
   length, travel_time, is_oneway, CASE WHEN source_node % 9 = 0
-  THEN concat_ws(',', 1000000 + 3*edge_id, 1000001 + 3*edge_id, 1000002 + 3*edge_id) ELSE edge_id::VARCHAR END members FROM links""",
+  THEN concat_ws(',', 4*edge_id + 1, 4*edge_id + 2, 4*edge_id + 3) ELSE (4*edge_id)::VARCHAR END members FROM links""",
     "row_sum": "SELECT origin, round(sum(trips), 6) total FROM od GROUP BY 1",
     "col_sum": "SELECT destination, round(sum(trips), 6) total FROM od GROUP BY 1",
     "total_trips": "SELECT round(sum(trips), 6) total FROM od",
@@ -382,6 +406,7 @@ SELECTS = {
     "balance": od("tanner_od"),
     "gravity_od_k": """SELECT origin, destination, round(trips * (SELECT sum(traffic*volume) / sum(volume*volume) FROM tanner_vol), 6) trips
   FROM tanner_od""",
+    "gravity_od_simplex": od("fit_last_od"),
     "simplex_objective": "SELECT point, round(z, 3) z FROM corner_z",
     "simplex_shrink": """SELECT (point % 4)::INTEGER point, round(z, 3) z FROM halved_z
   WHERE point // 4 = (SELECT arg_min(point // 4, z) FROM halved_z WHERE point // 4 = point % 4)""",

@@ -49,11 +49,20 @@ def unique(df: DataFrame, key: str, what: str) -> DataFrame:
     return df
 
 
+def amounts(df: DataFrame, key: str, value: str, what: str) -> DataFrame:
+    """Return ``df``, or raise naming some of the rows without a key or with a missing, negative, infinite or undefined value."""
+    good = F.col(key).isNotNull() & (F.col(value) >= 0) & (F.col(value) < float("inf"))
+    bad = df.where(~F.coalesce(good, F.lit(False))).select(key, value).take(5)
+    if bad:
+        raise ValueError(f"{what}: {value} must be a number from 0 on, e.g. not {[tuple(r) for r in bad]}")
+    return df
+
+
 def load_zones(df: DataFrame) -> DataFrame:
     """Zones keyed by ``zone_id``; ``trips`` is both what a zone sends and what it attracts."""
-    return unique(conform(df, ZONES), "zone_id", "zones")
+    return unique(amounts(conform(df, ZONES), "zone_id", "trips", "zones"), "zone_id", "zones")
 
 
 def load_counts(df: DataFrame) -> DataFrame:
     """Observed traffic keyed by ``edge_id``."""
-    return unique(conform(df, COUNTS), "edge_id", "counts")
+    return unique(amounts(conform(df, COUNTS), "edge_id", "traffic", "counts"), "edge_id", "counts")
