@@ -1,5 +1,7 @@
 """Input checks, guards and properties of the models."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,7 +148,8 @@ def brute_fit(cost, incidence, counts, zones, init, rounds, size):
             volume[e] = volume.get(e, 0.0) + k * t[(o, d)]
         return sum((v - counts[e]) ** 2 for e, v in volume.items())
 
-    simplex = fit.start_simplex(init, size)
+    far = size / math.sqrt(2)  # the published start: corners move by this in two of the three parameters
+    simplex = [(10 * init[0] + a * far, 10 * init[1] + b * far, init[2] + k * far) for a, b, k in ((0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 0))]
     values = [z(p) for p in simplex]
     last, done = None, 0
     while done < rounds:

@@ -130,7 +130,7 @@ def with_margins(od: DataFrame, zoning: Zoning) -> DataFrame:
 
 
 def by_origin(od: DataFrame) -> DataFrame:
-    """Each origin with its destinations; at most one entry per zone."""
+    """Each origin with its destinations: an array of the zones within the search radius, which bounds it."""
     return od.groupBy("origin").agg(
         F.count("*").alias("n_destinations"), F.array_sort(F.collect_list("destination")).alias("destinations")
     )

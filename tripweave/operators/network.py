@@ -97,11 +97,13 @@ def node_degree(links: DataFrame) -> DataFrame:
     return endpoints(links).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+def missing_nodes(zones: DataFrame, network: Network) -> DataFrame:
+    """``zone_id, node_id`` of zones on nodes that the network does not have."""
+    return zones.join(network.nodes, zones["node_id"] == F.col("node"), "left_anti").select("zone_id", "node_id")
+
+
 def check_nodes(zones: DataFrame, network: Network) -> None:
     """Raise when a zone sits on a node the network does not have."""
-    lost = (
-        zones.join(network.nodes, zones["node_id"] == F.col("node"), "left_anti")
-        .select("zone_id", "node_id").take(5)
-    )
+    lost = missing_nodes(zones, network).take(5)
     if lost:
         raise ValueError(f"zones on nodes that do not exist, e.g. {[tuple(r) for r in lost]}")

@@ -50,7 +50,8 @@ def shortest_dist(network: Network, sources: DataFrame, conf: ModelConf, strict_
     parts = partitions(spark)
     with static_plans(spark):
         origins = checkpoint(sources.select("src").distinct().repartition(parts, "src"))
-    fits = network.n_arcs <= conf.broadcast_rows
+    # The table that is sent also has a row for each node, and a node has an arc: three rows an arc at most.
+    fits = 3 * network.n_arcs <= conf.broadcast_rows
     by_source = fits and (network.n_arcs <= FEW_ARCS or origins.count() >= parts)
     start = origins.select(
         "src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(INF).alias("done")
@@ -95,7 +96,8 @@ def advance(state: DataFrame, table: DataFrame, radius: float) -> DataFrame:
             "src",
             reached.alias("node"),
             (F.col("dist") + F.coalesce("cost", F.lit(0.0))).alias("dist"),
-            F.when(F.col("v").isNull(), F.col("done"))
+            F.when(F.col("v").isNull() & ~live(radius), F.col("done"))
+            .when(F.col("v").isNull(), F.col("dist"))  # a node without arcs leads nowhere
             .when(F.col("v") == F.col("node"), F.col("dist"))
             .otherwise(F.lit(INF))
             .alias("done"),
@@ -129,11 +131,11 @@ def cost_matrix(labels: DataFrame, origins: DataFrame, destinations: DataFrame,
 
 
 def zone_pairs(labels: DataFrame, origins: DataFrame, destinations: DataFrame, n_zones: int, conf: ModelConf) -> DataFrame:
-    """Labels at zone nodes, named by zone instead of node."""
+    """Labels at zone nodes, named by zone instead of node; ``n_zones`` bounds ``destinations`` only."""
     at_origin = origins.select(F.col("zone_id").alias("origin"), F.col("node_id").alias("src"))
     at_dest = destinations.select(F.col("zone_id").alias("destination"), F.col("node_id").alias("node"))
     return (
         labels.join(small(at_dest, n_zones, conf.broadcast_rows), "node")
-        .join(small(at_origin, n_zones, conf.broadcast_rows), "src")
+        .join(at_origin, "src")
         .select("origin", "destination", F.col("dist").alias("cost"))
     )

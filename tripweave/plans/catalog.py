@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripweave.functions import formulas
 from tripweave.operators import assignment, calibration, constrained, contraction, demand, fit, network, paths, skim
-from tripweave.plans.driver_network import DriverNetwork, derive_chains
+from tripweave.plans.driver_network import DriverNetwork, derive_chains, table
 from tripweave.operators.network import Network
 from tripweave.runtime import checkpoint
 
@@ -25,8 +25,15 @@ _networks: dict[tuple, DriverNetwork] = {}
 
 
 def driver_network(spark: SparkSession, sf_dir: str, **options) -> DriverNetwork:
-    """The network of a data folder, shared by all queries of a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(options.items())))
+    """The network of a data folder, shared by all queries of a session while the folder holds the same files.
+
+    Networks of ended sessions are let go.
+    """
+    application = spark.sparkContext.applicationId
+    for old in [k for k in _networks if k[0] != application]:
+        del _networks[old]
+    files = tuple(sorted(f for name in ("customer", "orders", "lineitem") for f in table(spark, sf_dir, name).inputFiles()))
+    key = (application, sf_dir, files, tuple(sorted(options.items())))
     if key not in _networks:
         _networks[key] = DriverNetwork(spark, sf_dir, **options)
     return _networks[key]
@@ -64,6 +71,19 @@ def edge_cost(d: DriverNetwork) -> DataFrame:
     return d.network.links.select(F.col("link_id").alias("edge_id"), cost.alias("cost"))
 
 
+def zones_load(d: DriverNetwork) -> DataFrame:
+    return d.model.zones
+
+
+def counts_load(d: DriverNetwork) -> DataFrame:
+    return d.model.counts(d.counts).table
+
+
+def node_lookup(d: DriverNetwork) -> DataFrame:
+    """Zones that have lost their node: the model's zones, moved to nodes of which the network has only some."""
+    return network.missing_nodes(d.model.zones.withColumn("node_id", F.col("node_id") * 3), d.network)
+
+
 def chain_network(d: DriverNetwork) -> Network:
     return Network.from_edges(derive_chains(d.edges))
 
@@ -152,6 +172,12 @@ def deterrence(name: str, alpha: float, beta: float, gamma: float):
     return run
 
 
+def udf_deterrence(d: DriverNetwork) -> DataFrame:
+    """A deterrence function of the user's own."""
+    conf = d.conf.set("F", lambda cost: 1.0 / (1.0 + cost))
+    return d.model.costs.select("origin", "destination", rounded(conf.deterrence_of(F.col("cost")), "value", 9))
+
+
 def tanner_od(d: DriverNetwork) -> DataFrame:
     return demand.tanner_seed(d.model.costs, d.model.zoning, *TANNER)
 
@@ -377,6 +403,12 @@ def calibrate(method: str):
 # calibration under limits
 
 
+def udf_limit(d: DriverNetwork) -> DataFrame:
+    """Limits of the cells by a function of the user's own."""
+    cells = constrained.with_limits(d.od, limit)
+    return cells.select("origin", "destination", *[rounded(c, c) for c in ("trips", "lo", "up")])
+
+
 def lagrange_state(d: DriverNetwork):
     """Cells, edges and margins before the first step, with multipliers as after one update so that penalties act."""
     cells = checkpoint(constrained.with_limits(d.od, limit))
@@ -481,6 +513,11 @@ def constraint_check_total(d: DriverNetwork) -> DataFrame:
 QUERIES: dict[str, Callable[[DriverNetwork], DataFrame]] = {
     "cost_matrix": cost_matrix,
     "network_load": network_load,
+    "zones_load": zones_load,
+    "counts_load": counts_load,
+    "node_lookup": node_lookup,
+    "udf_deterrence": udf_deterrence,
+    "udf_limit": udf_limit,
     "node_degree": node_degree,
     "link_count": link_count,
     "edge_cost": edge_cost,

@@ -57,6 +57,13 @@ class Model:
         """Searches from some zones only, to pass to the methods below."""
         return Skim(self.network, origins.select(F.col("node_id").alias("src")), self.conf)
 
+    def skim_for(self, od: DataFrame) -> Skim:
+        """Searches from the origins of ``od`` only, unless those from all zones are done already."""
+        if "skim" in self.__dict__:
+            return self.skim
+        used = od.select(F.col("origin").alias("zone_id")).distinct()
+        return self.skim_of(self.zones.join(used, "zone_id", "left_semi"))
+
     def counts(self, counts: DataFrame) -> Counts:
         table = checkpoint(load_counts(counts))
         return Counts(table, table.count())
@@ -86,20 +93,30 @@ class Model:
     def balance(self, od: DataFrame, max_iter: int = 1) -> DataFrame:
         return demand.balance(od, self.zoning, max_iter)
 
-    def gravity_od_k(self, init: tuple[float, float, float], counts: DataFrame) -> DataFrame:
+    def costs_from(self, origins: DataFrame | None) -> tuple[DataFrame, Skim]:
+        """The cost matrix from ``origins``, all zones by default, and the searches it comes from."""
+        if origins is None:
+            return self.costs, self.skim
+        searched = self.skim_of(origins)
+        return checkpoint(self.cost_matrix(origins, searched)), searched
+
+    def gravity_od_k(self, init: tuple[float, float, float], counts: DataFrame, origins: DataFrame | None = None) -> DataFrame:
         """Balanced power-exponential gravity matrix, scaled to the counts; the third value of ``init`` is not used."""
-        counted = self.counted(self.costs, counts)
-        od = checkpoint(demand.balance(demand.tanner_seed(self.costs, self.zoning, init[0], init[1]), self.zoning))
+        cost, searched = self.costs_from(origins)
+        counted = self.counted(cost, counts, searched)
+        od = checkpoint(demand.balance(demand.tanner_seed(cost, self.zoning, init[0], init[1]), self.zoning))
         volumes = demand.edge_volume_counted(od, counted.incidence)
         k = demand.lsq_scale_k(volumes, counted.counts, counted.n_counts, self.conf).first()["k"]
         if k is None:
             raise ValueError("no counted edge lies on any path")
         return od.withColumn("trips", F.col("trips") * F.lit(k))
 
-    def gravity_od_simplex(self, init: tuple[float, float, float], counts: DataFrame, max_iter: int, size: float):
+    def gravity_od_simplex(self, init: tuple[float, float, float], counts: DataFrame, max_iter: int, size: float,
+                           origins: DataFrame | None = None):
         """Gravity matrix whose (alpha, beta, k) are fitted to the counts: (matrix, incidence, fit)."""
-        counted = self.counted(self.costs, counts).settle()
-        base = fit.base_cells(self.costs, self.zoning)
+        cost, searched = self.costs_from(origins)
+        counted = self.counted(cost, counts, searched).settle()
+        base = fit.base_cells(cost, self.zoning)
         found = fit.fit_simplex(base, counted, self.zoning, init, max_iter, size)
         od = fit.balanced_points(base, [found.point], self.zoning).drop("point")
         return od, counted.incidence, found
@@ -111,21 +128,23 @@ class Model:
 
     def path_links(self, od: DataFrame, skim_: Skim | None = None) -> DataFrame:
         """``(origin, destination, seq, edge_id)`` along the path of each pair of ``od``."""
-        s = skim_ or self.skim
+        s = skim_ or self.skim_for(od)
         return paths.path_links(self.pairs(od), s.tree, s.levels, self.network)
 
-    def shortest_paths(self, cost: DataFrame | None = None) -> DataFrame:
-        """``(origin, destination, cost, path)`` for all zone pairs in reach."""
-        cost = self.costs if cost is None else cost
-        return paths.collect_paths(cost, self.path_links(cost))
+    def shortest_paths(self, cost: DataFrame | None = None, origins: DataFrame | None = None) -> DataFrame:
+        """``(origin, destination, cost, path)`` for all pairs in reach, of ``cost`` or from ``origins``."""
+        searched = None
+        if cost is None:
+            cost, searched = self.costs_from(origins)
+        return paths.collect_paths(cost, self.path_links(cost, searched))
 
-    def paths_with_trips(self, od: DataFrame) -> DataFrame:
+    def paths_with_trips(self, od: DataFrame, skim_: Skim | None = None) -> DataFrame:
         """``od`` with the path of each pair; a pair out of reach keeps its trips and an empty path."""
-        return paths.collect_paths(od, self.path_links(od))
+        return paths.collect_paths(od, self.path_links(od, skim_))
 
     def assign(self, od: DataFrame, skim_: Skim | None = None) -> DataFrame:
         """Volume per edge when all trips take the shortest path."""
-        s = skim_ or self.skim
+        s = skim_ or self.skim_for(od)
         return assignment.assign(self.pairs(od), s.tree, s.levels, self.network)
 
     def assign_v1(self, od: DataFrame, origins: DataFrame | None = None) -> DataFrame:
@@ -144,7 +163,7 @@ class Model:
         """
         if isinstance(counts, calibration.Counted):
             return counts
-        c, s = self.counts(counts), skim_ or self.skim
+        c, s = self.counts(counts), skim_ or self.skim_for(od)
         incidence = checkpoint(
             paths.counted_incidence(self.pairs(od), s.tree, s.levels, self.network, c.table, c.n, self.conf)
         )

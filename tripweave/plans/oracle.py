@@ -350,6 +350,11 @@ def path_text(name: str) -> str:
 SELECTS = {
     "cost_matrix": "SELECT origin, destination, cost FROM cost",
     "network_load": "SELECT edge_id, u, v, length, travel_time FROM arcs",
+    "zones_load": "SELECT zone_id, node_id, trips FROM zones",
+    "counts_load": "SELECT edge_id, traffic FROM counts",
+    "node_lookup": "SELECT zone_id, 3*node_id node_id FROM zones WHERE 3*node_id NOT IN (SELECT node FROM degree)",
+    "udf_deterrence": deterrence("1.0/(1.0 + cost)"),
+    "udf_limit": "SELECT origin, destination, round(trips, 6) trips, round(lo, 6) lo, round(up, 6) up FROM l_cell",
     "node_degree": "SELECT node, degree FROM degree",
     "link_count": "SELECT count(*) links FROM (SELECT * FROM links)",
     "edge_cost": "SELECT edge_id, 0.75*length + 0.25*travel_time AS cost FROM links",
