@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tripweave.conf import ModelConf
 from tripweave.operators.network import Network
 from tripweave.operators.skim import INF, within
-from tripweave.runtime import checkpoint, is_empty, settle, small
+from tripweave.runtime import checkpoint, is_empty, kept_together, partitions, settle, small
 
 
 def shortest_tree(labels: DataFrame, network: Network, conf: ModelConf) -> DataFrame:
@@ -83,53 +83,76 @@ def tree_with_free_arcs(labels: DataFrame, costs: DataFrame, n_arcs: int, conf:
     )
 
 
-def lift(tree: DataFrame) -> list[DataFrame]:
-    """Tables ``(src, node, up)`` of the ancestor 1, 2, 4, ... links up, as long as any exists."""
-    levels = [tree.select("src", "node", "up")]
+class Levels(list):
+    """Tables ``(src, node, up)`` of the ancestor 1, 2, 4, ... links up, and the columns they are partitioned by.
+
+    With sources for every partition that is ``src`` alone: all work stays within a source then, whose labels the network or
+    the search radius bounds, and no level moves a row. Few sources are partitioned by ``src, node``.
+    """
+
+    keys: tuple[str, ...] = ("src", "node")
+
+
+def lift(tree: DataFrame) -> Levels:
+    """The levels of a tree, as long as any ancestor exists."""
+    spark = tree.sparkSession
+    levels = Levels([tree.select("src", "node", "up")])
+    if tree.select("src").distinct().count() >= partitions(spark):
+        levels.keys = ("src",)
+        levels[0] = settle(levels[0], "src", ordered=True)
     while True:
         low = levels[-1]
         step = low.select("src", F.col("node").alias("up"), F.col("up").alias("next"))
-        high = settle(
-            low.join(step, ["src", "up"]).select("src", "node", F.col("next").alias("up")), "src", "node", ordered=True
-        )
+        with kept_together(spark):
+            high = low.join(step, ["src", "up"]).select("src", "node", F.col("next").alias("up"))
+            if levels.keys == ("src",):
+                high = checkpoint(high.sortWithinPartitions("src", "node"))
+            else:
+                high = settle(high, "src", "node", ordered=True)
         if is_empty(high):
             return levels
         levels.append(high)
 
 
-def walk_up(starts: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def walk_up(starts: DataFrame, levels: Levels) -> DataFrame:
     """All ancestors of ``starts(src, node, at)``: rows ``(src, node, at, back)`` with ``back`` links behind.
 
     Each join doubles the reach: a row stays and also jumps.  Every distance has one binary form, so every
     ancestor comes out once.  The source itself is left out, as no link enters it.
     """
+    spark = starts.sparkSession
     rows = starts.select("src", "node", "at", F.lit(0).cast("long").alias("back"))
-    for k, level in enumerate(levels):
-        jump = level.where("up <> src").select("src", F.col("node").alias("at"), "up")
-        here = F.struct("at", "back")
-        there = F.struct(F.col("up").alias("at"), (F.col("back") + F.lit(2**k)).alias("back"))
-        rows = rows.join(jump, ["src", "at"], "left").select(
-            "src", "node", F.inline(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there)))
-        )
-    return rows
-
-
-def sum_up(loads: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    with kept_together(spark):
+        rows = rows.repartition(partitions(spark), "src") if levels.keys == ("src",) else rows
+        for k, level in enumerate(levels):
+            jump = level.where("up <> src").select("src", F.col("node").alias("at"), "up")
+            here = F.struct("at", "back")
+            there = F.struct(F.col("up").alias("at"), (F.col("back") + F.lit(2**k)).alias("back"))
+            rows = rows.join(jump, ["src", "at"], "left").select(
+                "src", "node", F.inline(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there)))
+            )
+        return checkpoint(rows)
+
+
+def sum_up(loads: DataFrame, levels: Levels) -> DataFrame:
     """Sum ``loads(src, node, load)`` over each node's subtree; nodes without load below them do not occur.
 
     After the step with the 2^k ancestors a node holds everything fewer than 2^(k+1) links below it, so equal
     paths merge early and no path is ever written out.
     """
-    for level in levels:
-        jump = level.where("up <> src")
-        here = F.struct("node", "load")
-        there = F.struct(F.col("up").alias("node"), "load")
-        loads = (
-            loads.join(jump, ["src", "node"], "left")
-            .select("src", F.inline(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))))
-            .groupBy("src", "node").agg(F.sum("load").alias("load"))
-        )
-    return loads
+    spark = loads.sparkSession
+    with kept_together(spark):
+        loads = loads.repartition(partitions(spark), "src") if levels.keys == ("src",) else loads
+        for level in levels:
+            jump = level.where("up <> src")
+            here = F.struct("node", "load")
+            there = F.struct(F.col("up").alias("node"), "load")
+            loads = (
+                loads.join(jump, ["src", "node"], "left")
+                .select("src", F.inline(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))))
+                .groupBy("src", "node").agg(F.sum("load").alias("load"))
+            )
+        return checkpoint(loads)
 
 
 def counted_tree(tree: DataFrame, counted_links: DataFrame, n_counts: int, conf: ModelConf) -> tuple[DataFrame, DataFrame]:

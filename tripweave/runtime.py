@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import threading
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_changing = threading.RLock()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, where unset one beside the session's warehouse."""
@@ -34,14 +37,30 @@ def static_plans(spark: SparkSession):
     """Plan without runtime re-planning, so that a checkpoint keeps the hash partitioning it was built with.
 
     Used only around jobs whose shuffle keys are spread evenly; everything else runs with the
-    session's own adaptive setting.
+    session's own adaptive setting. One thread at a time changes the session's settings.
     """
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        yield
+
+
+@contextmanager
+def kept_together(spark: SparkSession):
+    """As ``static_plans``, and a join on more columns than a table is partitioned by leaves that table where it is."""
+    with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}):
         yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    with _changing:
+        before = {name: spark.conf.get(name) for name in values}
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        try:
+            yield
+        finally:
+            for name, value in before.items():
+                spark.conf.set(name, value)
 
 
 def partitions(spark: SparkSession) -> int:
