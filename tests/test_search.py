@@ -7,7 +7,10 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tripweave import Model, ModelConf, Network
+from tripweave.operators import trees
 from tripweave.operators.contraction import contract
 from tripweave.operators.paths import hits_by_shrinking, hits_by_walking
 from tripweave.operators.skim import shortest_dist
@@ -190,3 +193,15 @@ def test_contraction_keeps_costs_paths_and_volumes(spark):
 def test_skim_is_computed_once(network, sources):
     skim = Skim(network, sources, ModelConf(time_coef=0.0))
     assert skim.labels is skim.labels and skim.levels is skim.levels
+
+
+def test_levels_move_no_rows(spark, network, sources, monkeypatch):
+    plans, real = [], trees.checkpoint
+    monkeypatch.setattr(trees, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    levels = Skim(network, sources, ModelConf(time_coef=0.0)).levels
+    assert levels.keys == ("src",) and len(levels) > 2 and len(plans) >= len(levels) - 1
+    assert all("Exchange" not in plan for plan in plans)
+    loads = levels[0].select("src", "node", F.lit(1.0).alias("load"))
+    plans.clear()
+    trees.sum_up(loads, levels)
+    assert plans[0].count("Exchange") <= 1  # the loads come to their sources once at most

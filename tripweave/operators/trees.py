@@ -83,6 +83,11 @@ def tree_with_free_arcs(labels: DataFrame, costs: DataFrame, n_arcs: int, conf:
     )
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The same columns as new attributes, so that a written table can be joined to the one it comes from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 class Levels(list):
     """Tables ``(src, node, up)`` of the ancestor 1, 2, 4, ... links up, and the columns they are partitioned by.
 
@@ -131,7 +136,7 @@ def walk_up(starts: DataFrame, levels: Levels) -> DataFrame:
             rows = rows.join(jump, ["src", "at"], "left").select(
                 "src", "node", F.inline(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there)))
             )
-        return checkpoint(rows)
+        return checkpoint(renewed(rows))
 
 
 def sum_up(loads: DataFrame, levels: Levels) -> DataFrame:
@@ -152,7 +157,7 @@ def sum_up(loads: DataFrame, levels: Levels) -> DataFrame:
                 .select("src", F.inline(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))))
                 .groupBy("src", "node").agg(F.sum("load").alias("load"))
             )
-        return checkpoint(loads)
+        return checkpoint(renewed(loads))
 
 
 def counted_tree(tree: DataFrame, counted_links: DataFrame, n_counts: int, conf: ModelConf) -> tuple[DataFrame, DataFrame]:
