@@ -145,12 +145,18 @@ def _enough(common: Column, one: Column, two: Column) -> Column:
     return 100 * common >= PERCENT * (one + two - common)
 
 
+def _allowed() -> Column:
+    """What sizes and bit sets of ``n_a, bits_a, n_b, bits_b`` allow: a differing bit is a shingle that only one of both has."""
+    words = [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)]
+    differing = sum(words[1:], words[0])
+    most = F.least("n_a", "n_b", F.floor((F.col("n_a") + F.col("n_b") - differing) / 2))
+    return _enough(most, F.col("n_a"), F.col("n_b"))
+
+
 def _could_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that sizes and bit sets allow: a differing bit is a shingle that only one of both has."""
+    """Pairs ``a, b`` that sizes and bit sets allow."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = F.least("n_a", "n_b", F.floor((F.col("n_a") + F.col("n_b") - differing) / 2))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(most, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_allowed()).select("a", "b")
 
 
 def _texts(documents: DataFrame, key: str, text: str, needed: DataFrame) -> DataFrame:
@@ -225,7 +231,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
-def _list_pairs(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+def _list_pairs(lists: DataFrame, labels: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` (a > b) of lists whose classes are not all connected, after all skips; ``lists`` is ``hash, head, node, n, at``.
 
     In each list the component with most entries is one side's block that is never joined with itself.
@@ -233,21 +239,21 @@ def _list_pairs(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFr
     entries = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = entries.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = spread.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("m", "component")).alias("main")).where("k > 1")
-    entries = entries.join(mixed.select("hash", "main"), "hash")
+    entries = entries.join(mixed.select("hash", "main"), "hash").join(classes.select("node", "bits"), "node")
     # Distance to the list's head, where it is known: the answer others are derived from.
     to_head = known.select(F.col("a").alias("node"), F.col("b").alias("head"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far"))
     entries = entries.join(to_head, ["node", "head"], "left")
     # Blocks of similar size: linked sizes differ by 100 / PERCENT at most, so they are in the same or the next block.
     block = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + F.lit(1e-9)).cast("int")
     entries = saved(entries.withColumn("block", block))
-    names = ["node", "n", "at", "component", "far"]
+    names = ["node", "n", "at", "component", "far", "bits"]
     left = entries.where("component <> main").select("hash", "main", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), *(F.col(c).alias(f"{c}_a") for c in names))
     right = entries.select("hash", "block", *(F.col(c).alias(f"{c}_b") for c in names))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     behind = 1 + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))  # what both can still share, if this is the first shingle they do
     apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("node_a") > F.col("node_b")))
     near = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    pairs = left.join(right, ["hash", "block"]).where(apart & _enough(F.least(n_a, n_b), n_a, n_b) & _enough(behind, n_a, n_b) & near)
+    pairs = left.join(right, ["hash", "block"]).where(apart & _enough(behind, n_a, n_b) & near & _allowed())
     return pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
@@ -260,7 +266,7 @@ def _with_components(documents: DataFrame, key: str, text: str) -> DataFrame:
         rows.where("n > 0").groupBy("one", "two")
         .agg(F.min("key").alias("key"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys", True).alias("keys"), F.first("bits", True).alias("bits"))
     )
-    classes = saved(saved(classes).withColumn("node", F.monotonically_increasing_id()))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()))  # what is written is what counts
     entries = classes.select("node", "n", F.posexplode("keys").alias("at", "hash")).withColumn("at", F.col("at") + 1)
     heads = entries.groupBy("hash").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     lists = saved(entries.join(heads, "hash"))
@@ -272,7 +278,7 @@ def _with_components(documents: DataFrame, key: str, text: str) -> DataFrame:
     labels = _labels(known)
     known = _checked(_apart(with_head, labels), classes, documents, key, text, known)
     labels = _labels(known)
-    left = saved(_apart(_could_link(_list_pairs(lists, labels, known), classes), labels))
+    left = saved(_list_pairs(lists, labels, known, classes))
     if not left.isEmpty():
         known = _checked(left, classes, documents, key, text, known)
         labels = _labels(known)
