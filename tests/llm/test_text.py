@@ -188,6 +188,13 @@ def test_secrets(spark):
     assert digest[4].spans.startswith("assign:6:") and digest[0].spans == "" and digest[4].n_access == 1
 
 
+def test_corpus_words_are_the_frequent_ones(spark):
+    docs = frame(spark, [(1, "abc abc abc def DEF ghi"), (2, None), (3, "abc xy 123 jkl")])
+    assert secrets.corpus_words(docs) == ["abc", "def", "ghi", "jkl"]
+    assert secrets.corpus_words(docs, most=3) == ["abc", "def"]  # the two words that occur once do not fit together
+    assert secrets.corpus_words(docs.limit(0)) == []
+
+
 def test_guess_cost():
     ranks = {"horse": 3, "staple": 10}
     bits = lambda v: secrets.guess_bits(v, ranks)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import map_runs, runs
+from tripweave.llm.common import map_runs, runs, saved
 
 # The base patterns of the contract, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -94,7 +94,10 @@ KINDS = ("assign", "access", "hex", "guess")
 
 
 def corpus_words(documents: DataFrame, text: str = "text", most: int = CORPUS_WORDS) -> list[str]:
-    """The ``most`` frequent words of three letters or more over all documents, the most frequent first."""
+    """The frequent words of three letters or more over all documents, the most frequent first: as many as ``most`` allows.
+
+    Words of about equal counts come in together or not at all, so no more than ``most`` words reach the driver.
+    """
     word = re.compile(r"[^\W\d_]{3,24}")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +112,16 @@ def corpus_words(documents: DataFrame, text: str = "text", most: int = CORPUS_WO
         yield _counted(counts)
 
     counted = documents.select(text).mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = saved(counted.withColumn("level", F.floor(20 * F.log2("n")).cast("int")))
+    least, words = None, 0
+    for level, n in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # some hundred levels
+        words += n
+        if words > most:
+            break
+        least = level
+    if least is None:
+        return []
+    return [r[0] for r in counted.where(F.col("level") >= least).orderBy(F.desc("n"), "word").select("word").collect()]
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
