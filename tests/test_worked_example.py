@@ -11,6 +11,7 @@ from tripweave.sources.tables import COUNTS, EDGES, ZONES, from_rows
 
 @pytest.fixture(scope="module")
 def example(spark):
+    # Fixed values of the published example.
     edges = from_rows(spark, [(1, 1, 2, 10.0, 15.0, False), (2, 2, 3, 17.0, 13.0, False)], EDGES)
     zones = from_rows(spark, [(1, 1, 20.0), (2, 3, 30.0)], ZONES)
     counts = from_rows(spark, [(1, 25.0), (2, 45.0)], COUNTS)
