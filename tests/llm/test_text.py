@@ -9,7 +9,7 @@ import pytest
 
 from tests.llm import plain
 from tripweave.llm import language, pieces, quality, secrets, token_files
-from tripweave.llm.common import Words, ALNUM_BYTES
+from tripweave.llm.common import ALNUM_BYTES, NONSPACE_BYTES, RUN_BYTES, Words
 from tripweave.llm.decontaminate import decontaminate
 from tripweave.llm.line_dedup import Chunks, line_dedup
 from tripweave.llm.shingle_join import jaccard_components, one_of_each
@@ -57,6 +57,28 @@ def test_decontaminate_without_rows(spark):
     assert decontaminate(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5])
+def test_shingles_of_runs_with_few_words(n):
+    words = Words(pa.array([" ".join("abcde"[:n])]), NONSPACE_BYTES)
+    assert len(words.shingles(5)) == n and len(set(words.shingles(5).tolist())) == n
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_tables_of_few_words(spark, n):
+    few = " ".join(["hello", "world", "of", "words"][:n])
+    long = " ".join(f"w{i}" for i in range(180_000))
+    assert len(long) > RUN_BYTES  # the short text behind it is then a run of its own
+    bench = spark.createDataFrame([(1, few)], "item_id long, text string")
+    for texts in ([few], [long, few]):
+        rows = list(enumerate(texts, 1))
+        docs = frame(spark, rows).coalesce(1)
+        got = decontaminate(docs, bench).drop("items").orderBy("doc_id").collect()
+        assert [tuple(r)[1:] for r in got] == plain.contamination(texts, [(1, few)])
+        assert sorted(tuple(r) for r in jaccard_components(docs).collect()) == sorted(plain.jaccard(rows))
+        assert sorted(r.doc_id for r in one_of_each(docs).collect()) == [i for i, _ in rows]
+        assert line_dedup(docs).count() == len(rows)
+
+
 def test_jaccard(spark, texts):
     rows = list(enumerate(texts, 100))
     got = sorted(tuple(r) for r in jaccard_components(frame(spark, [*rows, rows[6]])).collect())

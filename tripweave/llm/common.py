@@ -132,7 +132,7 @@ class Words:
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(len(words), np.uint64)
     factor = 1
-    for i in range(size):
+    for i in range(min(size, len(words))):
         total[: len(words) - i] += words[i:] * np.uint64(factor)
         factor = factor * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
     return mix(total)
