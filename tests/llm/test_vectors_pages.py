@@ -86,3 +86,21 @@ def test_common_lines_are_a_longest_subsequence(monkeypatch):
             kept, rest = page_text.common_lines(a, b), iter(b)
             assert all(a[i] in rest for i in sorted(kept))
             assert len(kept) == _longest(a, b) or not exact and len(kept) <= _longest(a, b)
+
+
+def _cut(page):
+    lines = page_text.page_lines(page)
+    return [x for x, _ in lines], [p for _, p in lines]
+
+
+def test_differencing_decides_beside_and_inside_an_article(spark):
+    page = lambda i: f"<body><div>our site menu</div><div>note of day {i}</div><article><p>share this story<p>story {i} is told here at length</article></body>"
+    rows = [(i, f"http://h.example/a/{i}", page(i)) for i in range(3)] + [(9, "http://alone.example/", page(9))]
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = "note of day 9 share this story story 9 is told here at length"
+    assert got[9] == "our site menu " + own
+    for i in range(3):
+        lines, parts = _cut(page(i))
+        other, others = _cut(page(i + 1))
+        assert not page_text.copies(lines, parts, other, others) and page_text.copies(lines, parts, lines, parts)
+        assert page_text.main_text(lines, parts, other) == f"note of day {i} story {i} is told here at length"

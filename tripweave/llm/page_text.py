@@ -2,8 +2,8 @@
 
 Pages are cut into lines (blocks of text). Within a host, pages are sorted by URL path; of the two neighbours the one
 that shares the longer path is the partner. The longest common subsequence of both pages' lines is what the site
-repeats, and these lines are deleted. Markup has the last word where it is plain: prose inside an article stays even if a
-copy of the page has it too, and lines inside menus, headers, footers and the like go even if no partner repeats them.
+repeats, and these lines are deleted, inside an article too, unless the partner is a copy of the page. Markup has the last
+word on one thing only: lines inside menus, headers, footers and the like go even if no partner repeats them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -38,7 +38,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 PLAIN, PROSE, BESIDE = 0, 1, 2  # a line outside an article, inside one, or in a part that is no text of the page
-COPY_SHARE = 0.95  # a partner that shares more of the unmarked text is a copy of the page and says nothing about it
+COPY_SHARE = 0.95  # of two pages that share more of the shorter one's text, one is a copy and says nothing about the other
 ALIGN_CELLS = 1 << 26
 
 
@@ -186,16 +186,21 @@ def _by_anchors(one: list, two: list) -> set[int]:
     return kept
 
 
+def judged(lines: list[str], parts: list[int], places: Iterable[int] | None = None) -> int:
+    """Characters in lines that are not set apart, of all lines or those at ``places``."""
+    return sum(len(lines[i]) for i in (range(len(lines)) if places is None else places) if parts[i] != BESIDE)
+
+
+def copies(lines: list[str], parts: list[int], other: list[str], other_parts: list[int]) -> bool:
+    """Whether one page holds over ``COPY_SHARE`` of the other's text; of such a pair nothing can be told from what it shares."""
+    least = min(judged(lines, parts), judged(other, other_parts))
+    return least == 0 or lines == other or judged(lines, parts, common_lines(lines, other)) > COPY_SHARE * least
+
+
 def main_text(lines: list[str], parts: list[int], partner: list[str] | None) -> str:
-    """The lines that stay, joined by blanks: not set apart by markup, and prose or not shared with the partner."""
+    """The lines that stay, joined by blanks: not set apart by markup and not shared with the partner, which is no copy."""
     shared = common_lines(lines, partner) if partner else set()
-    plain = [i for i, part in enumerate(parts) if part == PLAIN]
-    has_prose = any(part == PROSE for part in parts)
-    if not has_prose and sum(len(lines[i]) for i in plain if i in shared) > COPY_SHARE * sum(len(lines[i]) for i in plain):
-        shared = set()
-    return " ".join(
-        line for i, (line, part) in enumerate(zip(lines, parts)) if part == PROSE or part == PLAIN and not has_prose and i not in shared
-    )
+    return " ".join(line for i, (line, part) in enumerate(zip(lines, parts)) if part != BESIDE and i not in shared)
 
 
 def _near(one: str, two: str) -> int:
@@ -241,6 +246,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             after = next(stream)
             near = [n for n in (before, after) if n is not None and n[4] and n[4] == now[4]]
             partner = max(near, key=lambda n: _near(n[5], now[5]), default=None)
+            if partner and copies(now[2], now[3], partner[2], partner[3]):
+                partner = None
             text = main_text(now[2], now[3], partner[2] if partner else None)
             out.append((now[0], now[1], text, len(text)))
             if len(out) >= 256:
