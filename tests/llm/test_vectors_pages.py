@@ -104,3 +104,24 @@ def test_differencing_decides_beside_and_inside_an_article(spark):
         other, others = _cut(page(i + 1))
         assert not page_text.copies(lines, parts, other, others) and page_text.copies(lines, parts, lines, parts)
         assert page_text.main_text(lines, parts, other) == f"note of day {i} story {i} is told here at length"
+
+
+def test_partners_lie_beyond_copies():
+    menu = "".join(f"<div>entry {i}</div>" for i in range(8))
+    body = lambda i: f"<body>{menu}<div>the story of number {i} is told here</div></body>"
+    host = lambda name, kinds: [(n, "", *_cut(body(k) if k is not None else ""), name, f"/a/{n}") for n, k in enumerate(kinds)]
+    rows = [*host("a", [1] * 5 + [2] * 3 + [None, 3, 3]), *host("b", [1, 1, 1]), *host("", [1, 2])]
+    found = list(page_text.partners(iter(rows)))
+    assert [n for n, _ in found] == rows
+    texts = [page_text.main_text(n[2], n[3], p[2] if p else None) for n, p in found]
+    story = lambda i: f"the story of number {i} is told here"
+    assert texts[:11] == [story(1)] * 5 + [story(2)] * 3 + [""] + [story(3)] * 2
+    assert all(p is None for _, p in found[11:]) and texts[11].startswith("entry 0")
+
+
+def test_large_pages_have_a_longest_subsequence(monkeypatch):
+    monkeypatch.setattr(page_text, "ALIGN_CELLS", 4)
+    dice = random.Random(3)
+    for _ in range(300):
+        a, b = ([dice.randint(0, 3) for _ in range(dice.randint(0, 20))] for _ in range(2))
+        assert len(page_text.common_lines(a, b)) == _longest(a, b)

@@ -2,18 +2,17 @@
 
 Pages are cut into lines (blocks of text). Within a host, pages are sorted by URL path; of the two neighbours the one
 that shares the longer path is the partner. The longest common subsequence of both pages' lines is what the site
-repeats, and these lines are deleted, inside an article too, unless the partner is a copy of the page. Markup has the last
-word on one thing only: lines inside menus, headers, footers and the like go even if no partner repeats them.
+repeats, and these lines are deleted, inside an article too. Copies of the page are passed over for the next page that is none. Markup has
+the last word on one thing only: lines inside menus, headers, footers and the like go even if no partner repeats them.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,8 +111,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
 def common_lines(one: list, two: list) -> set[int]:
     """Places in ``one`` of a longest common subsequence with ``two``.
 
-    Equal ends are taken off first; then rows of bits, one a line, are kept for the way back. Beyond ``ALIGN_CELLS`` cells the pages
-    are first cut at lines that each has once; what is still too large is aligned line after line, which may miss some.
+    Equal ends are taken off first; then rows of bits, one a line, are kept for the way back. Beyond ``ALIGN_CELLS`` cells both
+    pages are first cut in two where the halves' subsequences add up to a longest one (Hirschberg), so memory stays small.
     """
     low, high, other = 0, len(one), len(two)
     while low < high and low < other and one[low] == two[low]:
@@ -125,15 +124,14 @@ def common_lines(one: list, two: list) -> set[int]:
     if not first or not second or set(first).isdisjoint(second):
         return kept
     if len(first) * len(second) > ALIGN_CELLS:
-        return kept | {low + i for i in _by_anchors(first, second)}
-    places: dict = {}
-    for j, line in enumerate(second):
-        places[line] = places.get(line, 0) | 1 << j
-    full, row, rows = (1 << len(second)) - 1, (1 << len(second)) - 1, []
-    for line in first:
-        hit = row & places.get(line, 0)
-        row = (row + hit | row - hit) & full
-        rows.append(row)  # bit j is 0 where the j-th line of two adds one to the longest common subsequence
+        if len(first) == 1:
+            return kept | {low}
+        middle = len(first) // 2
+        lengths = _lengths(first[:middle], second) + _lengths(first[:middle - 1 : -1], second[::-1])[::-1]
+        at = int(lengths.argmax())
+        kept |= {low + i for i in common_lines(first[:middle], second[:at])}
+        return kept | {low + middle + i for i in common_lines(first[middle:], second[at:])}
+    rows = list(_bit_rows(first, second))
     j = len(second) - 1
     for i in range(len(first) - 1, -1, -1):
         while j >= 0 and rows[i] >> j & 1:
@@ -146,44 +144,27 @@ def common_lines(one: list, two: list) -> set[int]:
     return kept
 
 
-def _by_anchors(one: list, two: list) -> set[int]:
-    once = lambda lines: {x: i for i, x in enumerate(lines) if lines_count[x] == 1}
-    lines_count: dict = {}
-    for x in one:
-        lines_count[x] = lines_count.get(x, 0) + 1
-    first = once(one)
-    lines_count = {}
-    for x in two:
-        lines_count[x] = lines_count.get(x, 0) + 1
-    second = once(two)
-    pairs = [(i, second[x]) for x, i in first.items() if x in second]
-    tops: list[int] = []
-    chains: list[tuple] = []
-    for i, j in pairs:  # longest rising chain of places
-        k = bisect_left(tops, j)
-        step = (i, j, chains[k - 1] if k else None)
-        tops[k:], chains[k:] = ([j], [step]) if k == len(tops) else ([j, *tops[k + 1 :]], [step, *chains[k + 1 :]])
-    anchors, step = [], chains[-1] if chains else None
-    while step:
-        anchors.append(step[:2])
-        step = step[2]
-    if not anchors:
-        kept, j, places = set(), 0, {}
-        for at, x in enumerate(two):
-            places.setdefault(x, []).append(at)
-        for i, x in enumerate(one):
-            k = bisect_left(places.get(x, []), j)
-            if x in places and k < len(places[x]):
-                kept.add(i)
-                j = places[x][k] + 1
-        return kept
-    kept, i0, j0 = set(), 0, 0
-    for i, j in [*anchors[::-1], (len(one), len(two))]:
-        kept |= {i0 + k for k in common_lines(one[i0:i], two[j0:j])}
-        if i < len(one):
-            kept.add(i)
-        i0, j0 = i + 1, j + 1
-    return kept
+def _bit_rows(first: list, second: list) -> Iterator[int]:
+    """A row for each line of ``first``; bit j is 0 where the j-th line of ``second`` adds one to the longest common subsequence."""
+    bits: dict = {line: bytearray(len(second) // 8 + 1) for line in set(first)}
+    for j, line in enumerate(second):
+        if line in bits:
+            bits[line][j >> 3] |= 1 << (j & 7)
+    places = {line: int.from_bytes(b, "little") for line, b in bits.items()}
+    full = row = (1 << len(second)) - 1
+    for line in first:
+        hit = row & places[line]
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(first: list, second: list) -> np.ndarray:
+    """Length of the longest common subsequence of ``first`` with the leading 0, 1, 2, ... lines of ``second``."""
+    row = (1 << len(second)) - 1
+    for row in _bit_rows(first, second):
+        pass
+    flat = np.unpackbits(np.frombuffer(row.to_bytes(len(second) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(second)]
+    return np.concatenate([[0], np.cumsum(1 - flat.astype(np.int64))])
 
 
 def judged(lines: list[str], parts: list[int], places: Iterable[int] | None = None) -> int:
@@ -209,6 +190,36 @@ def _near(one: str, two: str) -> int:
     return next((i for i in range(n) if one[i] != two[i]), n)
 
 
+def partners(rows: Iterable[tuple]) -> Iterator[tuple[tuple, tuple | None]]:
+    """Each of the sorted ``rows`` (key, url, lines, parts, host, path) with its partner: of the nearest pages of its host to
+    both sides that are no copies of it, the one that shares the longer path.
+
+    Pages between a page and its partner are copies, and so have the same next page that is none. Only pages that wait for it are kept,
+    exact copies with one list of lines.
+    """
+    differ = lambda one, two: not copies(one[2], one[3], two[2], two[3])
+
+    def settled(page: tuple, back: tuple | None, after: tuple | None) -> tuple[tuple, tuple | None]:
+        near = [n for n in (back, after) if n is not None]
+        return page, max(near, key=lambda n: _near(n[5], page[5]), default=None)
+
+    waiting: list[tuple] = []  # pages, each a copy of the next, with the page behind that each differs from
+    before = behind = None  # the last page, and the nearest one behind that it differs from
+    for now in rows:
+        if before is not None and not (now[4] and now[4] == before[4]):
+            yield from (settled(*w, None) for w in waiting)
+            waiting, before, behind = [], None, None
+        if before is not None:
+            if differ(before, now):
+                yield from (settled(*w, now if w[0] is before or differ(w[0], now) else None) for w in waiting)
+                waiting, behind = [], before
+            elif now[2] == before[2] and now[3] == before[3]:
+                now = (*now[:2], before[2], before[3], *now[4:])
+        waiting.append((now, behind if behind is not None and (behind is before or differ(now, behind)) else None))
+        before = now
+    yield from (settled(*w, None) for w in waiting)
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` for every row of ``pages``.
 
@@ -239,21 +250,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                     yield from zip(*(c.to_pylist() for c in batch.slice(start, 256).columns))
 
         out: list[tuple] = []
-        before = None
-        stream = chain(flat(), [None])
-        now = next(stream)
-        while now is not None:
-            after = next(stream)
-            near = [n for n in (before, after) if n is not None and n[4] and n[4] == now[4]]
-            partner = max(near, key=lambda n: _near(n[5], now[5]), default=None)
-            if partner and copies(now[2], now[3], partner[2], partner[3]):
-                partner = None
+        for now, partner in partners(flat()):
             text = main_text(now[2], now[3], partner[2] if partner else None)
             out.append((now[0], now[1], text, len(text)))
             if len(out) >= 256:
                 yield _rows(out)
                 out = []
-            before, now = now, after
         if out:
             yield _rows(out)
 
