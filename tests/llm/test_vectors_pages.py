@@ -125,3 +125,17 @@ def test_large_pages_have_a_longest_subsequence(monkeypatch):
     for _ in range(300):
         a, b = ([dice.randint(0, 3) for _ in range(dice.randint(0, 20))] for _ in range(2))
         assert len(page_text.common_lines(a, b)) == _longest(a, b)
+
+
+@pytest.mark.parametrize("wrapper", ["<form action='/x'>", "<div class='layout with-sidebar'>", "<div class='has-sidebar'>", "<div id='page-with-nav'>", "<div class='no-ads main'>", "<div class='banner'>"])
+def test_articles_inside_wrappers_stay(wrapper):
+    tag = wrapper[1:].split()[0]
+    page = f"<body>{wrapper}<nav>menu</nav><article><div class='post-header'><h1>Title</h1></div><p>Story</article></{tag}><footer>end</footer></body>"
+    assert page_text.main_text(*_cut(page), None) == "Title Story"
+
+
+@pytest.mark.parametrize("wrapper", ["<nav>", "<footer>", "<aside>", "<div class='comments'>", "<div class='wide sidebar'>", "<div role='complementary'>", "<div hidden>"])
+def test_articles_beside_the_page_do_not(wrapper):
+    tag = wrapper[1:].strip(">").split()[0]
+    page = f"<body><main>Story</main>{wrapper}<form><article><p>Teaser</article></form></{tag}><form>mail<div>name</div></form></body>"
+    assert page_text.main_text(*_cut(page), None) == "Story"

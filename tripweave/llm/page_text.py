@@ -26,33 +26,47 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 ARTICLE = frozenset(("article", "main"))
 APART = frozenset("nav header footer aside form menu dialog button head figure fieldset".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
+# Names of classes and ids, as whole words of the attribute.
 APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|"
-    r"pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|"
+    r"pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|toolbar|widget",
     re.IGNORECASE,
 )
+# In these an article is no main text either; in others that are set apart, such as a form around the whole page, it is.
+SHUT = frozenset("nav footer aside head".split())
+SHUT_ROLES = frozenset("navigation contentinfo complementary".split())
+SHUT_NAMES = re.compile(r"comments?|disqus|footer|nav|navbar|navigation|related|repl(?:y|ies)|sidebar", re.IGNORECASE)
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({'|'.join(RAW)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 PLAIN, PROSE, BESIDE = 0, 1, 2  # a line outside an article, inside one, or in a part that is no text of the page
+CLOSED = 3  # while reading: set apart, and articles inside are too
 COPY_SHARE = 0.95  # of two pages that share more of the shorter one's text, one is a copy and says nothing about the other
 ALIGN_CELLS = 1 << 26
 
 
-def _set_apart(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in APART and not (in_article and tag in ("header", "figure")):
-        return True
-    if not attributes.strip():
-        return False
-    for name, *values in NAMED.findall(attributes):
+def _part(tag: str, attributes: str, part: int) -> int:
+    """The part of an element inside ``part``."""
+    if part == CLOSED:
+        return CLOSED
+    apart = tag in APART and not (part == PROSE and tag in ("header", "figure"))
+    shut = tag in SHUT
+    for name, *values in NAMED.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in APART_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body") and tag not in ARTICLE and APART_NAMES.search(value):
-            return True
-    return tag in ARTICLE and any(n.lower() == "class" and re.search(r"comment|reply", "".join(v), re.IGNORECASE) for n, *v in NAMED.findall(attributes))
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            shut = True
+        elif name == "role":
+            apart, shut = apart or value.lower() in APART_ROLES, shut or value.lower() in SHUT_ROLES
+        elif name in ("class", "id") and tag not in ("html", "body") and tag not in ARTICLE:
+            words = value.split()
+            apart, shut = apart or any(map(APART_NAMES.fullmatch, words)), shut or any(map(SHUT_NAMES.fullmatch, words))
+        elif name == "class" and tag in ARTICLE and re.search(r"comment|reply", value, re.IGNORECASE):
+            shut = True
+    if shut:
+        return CLOSED
+    return BESIDE if apart else PROSE if tag in ARTICLE else part
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
@@ -64,7 +78,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     def close() -> None:
         if piece:
             if line := " ".join(html.unescape("".join(piece)).split()):
-                found.append((line, part))
+                found.append((line, min(part, BESIDE)))
             piece.clear()
 
     at = 0
@@ -83,7 +97,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         inline = tag in INLINE
         if m[2]:
             if any(t == tag for t, _ in open_tags):
-                if not inline or part == BESIDE:
+                if not inline or part >= BESIDE:
                     close()
                 while open_tags.pop()[0] != tag:
                     pass
@@ -91,17 +105,15 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             elif not inline:
                 close()
             continue
-        apart = part == BESIDE or _set_apart(tag, m[4], part == PROSE)
-        if inline and not apart:
+        if inline and _part(tag, m[4], part) < BESIDE:
             continue  # its end, and a missing one, then change nothing
         close()
         if not inline:
             while open_tags and (open_tags[-1][0] == "p" or tag == "li" and open_tags[-1][0] == "li"):
                 open_tags.pop()
             part = open_tags[-1][1] if open_tags else PLAIN
-            apart = part == BESIDE or _set_apart(tag, m[4], part == PROSE)
         if not m[4].endswith("/"):
-            part = BESIDE if apart else PROSE if tag in ARTICLE else part
+            part = _part(tag, m[4], part)
             open_tags.append((tag, part))
     piece.append(page[at:])
     close()
