@@ -105,6 +105,12 @@ def test_one_of_each(spark, texts):
     assert one_of_each(frame(spark, []).limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_an_id(spark):
+    text = "one two three four five six"
+    rows = [(None, text), (8, text), (None, "no id at all"), (3, text + " "), (None, "no id at all")]
+    assert sorted((r.text, r.doc_id) for r in one_of_each(frame(spark, rows)).collect()) == [("no id at all", None), (text + " ", 3)]
+
+
 def test_line_dedup(spark):
     dice = random.Random(9)
     line = lambda: sentence(dice, 6)

@@ -308,7 +308,7 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     Rows without words are in no component and all stay.
     """
     found = saved(_with_components(documents, key, text))
-    kept = found.where("n > 0").groupBy("node").agg(F.min(F.struct("key", "row")).alias("first")).select(F.col("first.row").alias("_row"))
+    kept = found.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first")).select(F.col("first.row").alias("_row"))
     named = documents.drop("_row").withColumn("_row", F.xxhash64(key, text))
     empty = ~F.coalesce(F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     one = named.where(~empty).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
