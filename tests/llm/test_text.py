@@ -133,6 +133,18 @@ def test_line_dedup(spark):
     assert line_dedup(frame(spark, []).limit(0)).count() == 0
 
 
+def test_long_lines_go_wherever_they_stand(spark):
+    dice = random.Random(12)
+    line = lambda n=6: sentence(dice, n)
+    long, just, short = line(60), line(50), line(49)
+    own = [[line() for _ in range(4)] for _ in range(6)]
+    rows = [(i + 1, "\n".join([*a[:2], long, a[2], just, a[3], short])) for i, a in enumerate(own)] + [(20, long), (21, long + "\n" + just), (22, long + long), (None, just)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(frame(spark, rows), long_lines=True).collect()}
+    assert got[1] == (rows[0][1], 0) and got[22] == (rows[8][1], 0)
+    assert all(got[i + 1] == ("\n".join([*a, short]), 2) for i, a in enumerate(own) if i)
+    assert got[20] == ("", 1) and got[21] == ("", 2) and got[None] == ("", 1)
+
+
 def test_chunk_borders_shift():
     dice = random.Random(4)
     lines = [sentence(dice, 5) for _ in range(200)]

@@ -2,7 +2,8 @@
 
 A rolling hash over the hashes of the last lines chooses where a chunk ends, so an inserted line moves the borders
 near it only. Chunks of two lines or more that occur more than once in all texts are compared byte by byte, by grouping
-on their text, and stay only at their first place: the smallest id, there the first chunk.
+on their text, and stay only at their first place: the smallest id, there the first chunk. Where asked for, lines of
+``LONG_WORDS`` words or more are compared likewise, each on its own, wherever the borders of the chunks around them fall.
 """
 
 from __future__ import annotations
@@ -12,26 +13,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import flat_bytes, map_runs, mix, saved, shingle_hashes, signed, span_hashes
+from tripweave.llm.common import NONSPACE_BYTES, flat_bytes, map_runs, mix, saved, shingle_hashes, signed, span_hashes
 
 ROLLING_LINES = 2
 DIVISOR = 3  # one in so many places ends a chunk
 LEAST_LINES, MOST_LINES = 2, 48
+LONG_WORDS = 50
 BITMAP_BITS = 23
+LINE = 1 << 30  # numbers from here on are lines of a text, those below are chunks
 
 
 class Chunks:
     """Lines and chunks of a run of texts; lines keep their line feed, so that chunks joined give the text."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, long_lines: bool = False) -> None:
         self.data, text_starts = flat_bytes(texts)
         feeds = np.flatnonzero(self.data == 0x0A) + 1
         self.starts = np.unique(np.concatenate([text_starts[:-1], feeds[feeds < len(self.data)]])) if len(self.data) else np.zeros(0, np.int64)
         self.starts = self.starts[self.starts < len(self.data)]
         self.ends = np.concatenate([self.starts[1:], [len(self.data)]]) if len(self.starts) else self.starts
         self.first = np.searchsorted(self.starts, text_starts)
-        bare = self.ends - (self.data[self.ends - 1] == 0x0A) if len(self.starts) else self.ends
-        self.hashes = span_hashes(self.data, self.starts, bare)
+        self.bare = self.ends - (self.data[self.ends - 1] == 0x0A) if len(self.starts) else self.ends
+        self.hashes = span_hashes(self.data, self.starts, self.bare)
         self.cut = self._borders()
         self.chunk_first = np.flatnonzero(np.concatenate([[True], self.cut[:-1]])) if len(self.cut) else np.zeros(0, np.int64)
         self.chunk_end = np.concatenate([self.chunk_first[1:], [len(self.starts)]]) if len(self.chunk_first) else self.chunk_first
@@ -41,6 +44,14 @@ class Chunks:
         # The hash of a chunk: of its lines' hashes in order, as differences of one running sum.
         self.chunk_hash = self._chunk_hashes()
         self.lines = self.chunk_end - self.chunk_first
+        # What is compared: chunks of enough lines, then long lines, each with its text's row, number, hash and bytes.
+        chunks, lines = np.flatnonzero(self.lines >= LEAST_LINES), self._long_lines() if long_lines else np.zeros(0, np.int64)
+        row = np.searchsorted(self.first, lines, side="right") - 1
+        self.unit_row = np.concatenate([self.row[chunks], row])
+        self.unit_number = np.concatenate([self.number[chunks], lines - self.first[row] + LINE])
+        self.unit_hash = np.concatenate([self.chunk_hash[chunks], mix(self.hashes[lines] ^ np.uint64(0x9FB21C651E98DF25))])
+        self.unit_start = np.concatenate([self.starts[self.chunk_first[chunks]], self.starts[lines]])
+        self.unit_end = np.concatenate([self.bare[self.chunk_end[chunks] - 1], self.bare[lines]])
 
     def _borders(self) -> np.ndarray:
         """Which lines end a chunk: a text's last, and those whose rolling hash says so, within the least and most lines."""
@@ -57,6 +68,21 @@ class Chunks:
                 cut[i], since = True, 0
         return cut
 
+    def _long_lines(self) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros(0, np.int64)
+        inside = NONSPACE_BYTES[self.data]
+        begins = inside & ~np.concatenate([[False], inside[:-1]])
+        begins[self.starts] = inside[self.starts]
+        words = np.concatenate([[0], np.cumsum(begins)])
+        return np.flatnonzero(words[self.ends] - words[self.starts] >= LONG_WORDS)
+
+    def unit(self, i: int) -> bytes:
+        return self.data[self.unit_start[i] : self.unit_end[i]].tobytes()
+
+    def line(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.bare[i]].tobytes()
+
     def _chunk_hashes(self) -> np.ndarray:
         value = np.zeros(len(self.chunk_first), np.uint64)
         lines = self.chunk_end - self.chunk_first
@@ -79,31 +105,31 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     return found
 
 
-def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", long_lines: bool = False) -> DataFrame:
     """``documents`` with repeated chunks taken out of ``text``, and ``n_lines`` and ``n_removed`` of each row.
 
     All rows stay, with their other columns; null texts stay null, texts without a repeated chunk stay as they are, and
     a text of which nothing is left is empty. Rows that share id and text count as one document. A repeated chunk
-    that only rows without an id hold stays in all of them; otherwise such rows lose it. Single lines are no chunks.
+    that only rows without an id hold stays in all of them; otherwise such rows lose it. Single lines are no chunks;
+    with ``long_lines`` those of 50 words or more go likewise.
     """
     source = documents.drop("n_lines", "n_removed", "_row").withColumn("_row", F.xxhash64(key, text))
     kind = source.schema[key].dataType.simpleString()
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = Chunks(batch.column(0))
-        return pa.RecordBatch.from_arrays([pa.array(signed(c.chunk_hash[c.lines >= LEAST_LINES]))], names=["hash"])
+        c = Chunks(batch.column(0), long_lines)
+        return pa.RecordBatch.from_arrays([pa.array(signed(c.unit_hash))], names=["hash"])
 
     counted = map_runs(source.select(text), text, "hash long", hashes).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     spark = documents.sparkSession
     marks = spark.sparkContext.broadcast(_bitmap(counted, BITMAP_BITS))
 
     def repeated(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = Chunks(batch.column(2))
-        cell = c.chunk_hash & np.uint64((1 << BITMAP_BITS) - 1)
-        at = np.flatnonzero((c.lines >= LEAST_LINES) & marks.value[cell])
-        rows = pa.array(c.row[at])
+        c = Chunks(batch.column(2), long_lines)
+        at = np.flatnonzero(marks.value[c.unit_hash & np.uint64((1 << BITMAP_BITS) - 1)])
+        rows = pa.array(c.unit_row[at])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(c.number[at].astype(np.int32)), pa.array(signed(c.chunk_hash[at])), pa.array([c.text(i) for i in at.tolist()], pa.binary())],
+            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(c.unit_number[at].astype(np.int32)), pa.array(signed(c.unit_hash[at])), pa.array([c.unit(i) for i in at.tolist()], pa.binary())],
             names=["key", "_row", "number", "hash", "bytes"],
         )
 
@@ -125,16 +151,18 @@ def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
         first_chunk = np.searchsorted(c.chunk_first, c.first)
         new, removed = batch.column(at).to_pylist(), np.zeros(batch.num_rows, np.int64)
         for i, listed in enumerate(batch.column(chunks_at).to_pylist()):
-            gone, seen = set(), set()
+            gone, seen = set(), set()  # lines of the run
             for item in listed or ():
-                chunk = int(first_chunk[i]) + item["number"]
                 if item["own"] and item["hash"] not in seen:
                     seen.add(item["hash"])
+                elif item["number"] >= LINE:
+                    gone.add(int(c.first[i]) + item["number"] - LINE)
                 else:
-                    gone.add(chunk)
+                    chunk = int(first_chunk[i]) + item["number"]
+                    gone.update(range(c.chunk_first[chunk], c.chunk_end[chunk]))
             if gone:
-                new[i] = b"\n".join(c.text(k) for k in range(first_chunk[i], first_chunk[i + 1]) if k not in gone).decode("utf-8", "replace")
-                removed[i] = sum(int(c.lines[k]) for k in gone)
+                new[i] = b"\n".join(c.line(k) for k in range(c.first[i], c.first[i + 1]) if k not in gone).decode("utf-8", "replace")
+                removed[i] = len(gone)
         columns = [pa.array(new, pa.string()) if n == text else col for n, col in zip(names, batch.columns) if n != "_chunks"]
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(c.first)), pa.array(removed)], names=[*(n for n in names if n != "_chunks"), "n_lines", "n_removed"])
 

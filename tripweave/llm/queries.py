@@ -51,7 +51,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), long_lines=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
