@@ -228,6 +228,15 @@ def test_secrets(spark):
     assert digest[4].spans.startswith("assign:6:") and digest[0].spans == "" and digest[4].n_access == 1
 
 
+def test_guesses_do_not_lean_on_the_value_itself(spark):
+    value = "xkqvbnwzjtrmpd"
+    texts = [f"login: {value}", f"auth: {value} again", "login: horsestaplebattery", "horse", "a staple", "battery horse", None, f"password: {value}"]
+    for more in ([], [sentence(random.Random(i), 20) for i in range(40)]):
+        got = {r.doc_id: [(k, texts[r.doc_id][s:e]) for k, s, e in r.spans] for r in secrets.find_secrets(frame(spark, enumerate([*texts, *more]))).collect() if r.doc_id < len(texts)}
+        assert got[0] == [("guess", texts[0])] and got[1] == [("guess", f"auth: {value}")]
+        assert got[2] == got[3] == got[6] == [] and got[7] == [("assign", texts[7])]
+
+
 def test_corpus_words_are_the_frequent_ones(spark):
     docs = frame(spark, [(1, "abc abc abc def DEF ghi"), (2, None), (3, "abc xy 123 jkl")])
     assert secrets.corpus_words(docs) == ["abc", "def", "ghi", "jkl"]
