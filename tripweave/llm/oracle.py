@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from tripweave.llm import robust_rules as rules
+
 # Lower-case A-Z only, as the contracts ask.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -34,5 +38,66 @@ FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
 
+def _op12() -> str:
+    """Base counts by unnesting, then the same estimates step by step, each a table of its own."""
+    j = range(rules.SIZE)
+    pairs = [(a, b) for a in j for b in range(a + 1)]
+    plain = lambda sql: re.sub(r"(?<=[0-9])D\b", "", sql)
+    listed = lambda parts: plain(", ".join(parts))
+    a = ", ".join(f"a{x}" for x in j)
+    sums = ", ".join(["count(*) AS n"] + [f"sum(a{x}) AS s{x}" for x in j] + [f"sum(a{x} * a{y}) AS p{x}{y}" for x, y in pairs])
+    estimate = ", ".join([f"m{x}" for x in j] + [f"l{x}{y}" for x, y in pairs])
+    ranked = plain(rules.RANKED)
+
+    def estimated(rows: str, keys: str) -> str:
+        return f"SELECT *, {listed(rules.estimate_sql())} FROM (SELECT {keys}, {sums} FROM {rows} GROUP BY ALL)"
+
+    def measured(estimates: str, keys: str) -> str:
+        return f"SELECT {keys}, {a}, {plain(rules.distance_sql())} AS d FROM (SELECT *, {listed(rules.solved_sql())} FROM grouped_rows JOIN {estimates} USING (lg, sg))"
+
+    values = ", ".join(f"CASE WHEN NOT base_failed THEN CAST(floor(1000.0 * {plain(s)}) AS BIGINT) END AS a{x}" for x, s in enumerate(rules.STATISTICS))
+    spread = ", ".join(
+        f"(hi{x} - lo{x}) * (hi{x} - lo{x}) / 1.8196 + {float(rules.FLOORS[x] ** 2)} AS c{x}{y}" if x == y else f"0.0 AS c{x}{y}" for x, y in pairs
+    )
+    quartiles = ", ".join(f"quantile_disc(a{x}, {p}) AS {n}{x}" for x in j for n, p in (("lo", 0.25), ("m", 0.5), ("hi", 0.75)))
+    ctes = [f"""
+docs AS (SELECT row_number() OVER () AS r, * FROM documents),
+words AS (SELECT r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+found AS (SELECT r, i FROM windows JOIN (SELECT r, x FROM windows GROUP BY r, x HAVING count(*) > 1) USING (r, x)),
+repeated AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM found) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS again FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+counts AS (SELECT r, doc_id, coalesce('l' || lang, 'n') AS lg, coalesce('s' || source, 'n') AS og, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.again, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
+  FROM docs JOIN words USING (r) LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r)),
+based AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed FROM counts),
+stats AS MATERIALIZED (SELECT *, {values} FROM based),
+of_source AS (SELECT lg, og, count(*) AS n FROM stats WHERE NOT base_failed GROUP BY ALL),
+of_lang AS (SELECT lg, sum(n) AS n_lang, min(n) < {rules.LEAST_ROWS} AS mixed FROM of_source GROUP BY lg),
+named AS (SELECT lg, og, mixed, CASE WHEN n >= {rules.LEAST_ROWS} THEN og ELSE 'all' END AS sg FROM of_source JOIN of_lang USING (lg) WHERE n_lang >= {rules.LEAST_ROWS}),
+placed AS MATERIALIZED (SELECT * FROM stats LEFT JOIN named USING (lg, og)),
+grouped_rows AS MATERIALIZED (SELECT lg, sg, {a} FROM placed WHERE NOT base_failed AND sg IS NOT NULL
+  UNION ALL SELECT lg, 'all', {a} FROM placed WHERE NOT base_failed AND mixed AND sg <> 'all'),
+e0 AS MATERIALIZED (
+  SELECT lg, sg, 'q' AS start, {estimate} FROM (SELECT *, {listed(rules.root_sql())} FROM (SELECT lg, sg, {", ".join(f"m{x}" for x in j)}, {spread} FROM (SELECT lg, sg, {quartiles} FROM grouped_rows GROUP BY ALL)))
+  UNION ALL SELECT lg, sg, 's', {estimate} FROM ({estimated("grouped_rows", "lg, sg")}))"""]
+    for i in range(rules.STEPS):
+        ctes.append(f"""
+d{i} AS MATERIALIZED ({measured(f"e{i}", "lg, sg, start")}),
+h{i} AS (SELECT lg, sg, start, quantile_disc({ranked}, 0.5) AS half FROM d{i} GROUP BY ALL),
+e{i + 1} AS MATERIALIZED ({estimated(f"(SELECT d{i}.* FROM d{i} JOIN h{i} USING (lg, sg, start) WHERE {ranked} <= half)", "lg, sg, start")})""")
+    root = " * ".join(f"l{x}{x}" for x in j)
+    ctes.append(f"""
+chosen AS MATERIALIZED (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY lg, sg ORDER BY {root}, start) AS place FROM e{rules.STEPS}) WHERE place = 1),
+dc AS MATERIALIZED ({measured("chosen", "lg, sg")}),
+scales AS (SELECT lg, sg, exp(quantile_disc({ranked}, 0.5) / 1000.0) / {rules.CHI_HALF} AS scale FROM dc GROUP BY ALL),
+final AS MATERIALIZED ({estimated(f"(SELECT dc.* FROM dc JOIN scales USING (lg, sg) WHERE d <= {rules.CHI_WEIGHT} * greatest(scale, 1.0))", "lg, sg")}),
+judged AS (SELECT *, {plain(rules.distance_sql())} AS d FROM (SELECT *, {listed(rules.solved_sql())} FROM placed LEFT JOIN (SELECT lg, sg, {estimate} FROM final) USING (lg, sg)))""")
+    shown = ", ".join(rules.COUNTS)
+    return f"WITH {','.join(ctes)}\nSELECT doc_id, {shown}, base_failed, NOT base_failed AND coalesce(d <= {rules.CHI_REJECT}, true) AS kept FROM judged"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2}
+    return {"op2_decontamination": OP2, "op12_robust_rules": _op12()}

@@ -14,6 +14,7 @@ from tripweave.llm.line_dedup import line_dedup
 from tripweave.llm.near_vectors import near_vectors
 from tripweave.llm.page_text import extract
 from tripweave.llm.quality import quality
+from tripweave.llm.robust_rules import robust_rules
 from tripweave.llm.shingle_join import jaccard_components
 from tripweave.llm.token_files import token_counts
 
@@ -58,8 +59,13 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op12_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_rules(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_decontamination, op3_language_id, op4_jaccard_join, op5_near_vectors, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup, op10_page_text,
+        op12_robust_rules,
     )
     return {f.__name__: f for f in every}
