@@ -37,6 +37,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
+OP11 = rf"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, * FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), words AS (
+  SELECT p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), places AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) t(k) WHERE len(w) >= k
+), phrases AS MATERIALIZED (
+  SELECT lang, w[i : i + k - 1] AS words, any_value(k) AS k, count(*) AS a FROM places GROUP BY lang, words HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.words, c.a, j, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM phrases WHERE k > 1) c
+  JOIN phrases l ON l.lang = c.lang AND l.words = c.words[1 : j] JOIN phrases r ON r.lang = c.lang AND r.words = c.words[j + 1 :]
+  JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, j) = 1
+), inner_parts AS (
+  SELECT lang, words[i : i + s - 1] AS words, max(a) AS longer
+  FROM (SELECT lang, words, a, k, s, unnest(range(1, k - s + 2)) AS i FROM phrases, range(2, 5) t(s) WHERE s < k) GROUP BY ALL
+), kept AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+  FROM best LEFT JOIN inner_parts USING (lang, words) WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
 
 def _op12() -> str:
     """Base counts by unnesting, then the same estimates step by step, each a table of its own."""
@@ -100,4 +131,4 @@ judged AS (SELECT *, {plain(rules.distance_sql())} AS d FROM (SELECT *, {listed(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op12_robust_rules": _op12()}
+    return {"op2_decontamination": OP2, "op11_collocations": OP11, "op12_robust_rules": _op12()}

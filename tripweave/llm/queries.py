@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripweave.llm.collocations import collocations
 from tripweave.llm.common import table
 from tripweave.llm.decontaminate import decontaminate
 from tripweave.llm import pieces, secrets
@@ -59,6 +60,10 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules(table(spark, sf_dir, "documents")).drop("distance")
 
@@ -66,6 +71,6 @@ def op12_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_decontamination, op3_language_id, op4_jaccard_join, op5_near_vectors, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup, op10_page_text,
-        op12_robust_rules,
+        op11_collocations, op12_robust_rules,
     )
     return {f.__name__: f for f in every}
