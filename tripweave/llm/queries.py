@@ -15,6 +15,7 @@ from tripweave.llm.line_dedup import line_dedup
 from tripweave.llm.near_vectors import near_vectors
 from tripweave.llm.page_text import extract
 from tripweave.llm.quality import quality
+from tripweave.llm.ranked_search import ranked_search
 from tripweave.llm.robust_rules import robust_rules
 from tripweave.llm.shingle_join import jaccard_components
 from tripweave.llm.token_files import token_counts
@@ -68,9 +69,13 @@ def op12_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_decontamination, op3_language_id, op4_jaccard_join, op5_near_vectors, op6_quality, op7_secrets, op8_sentencepiece, op9_line_dedup, op10_page_text,
-        op11_collocations, op12_robust_rules,
+        op11_collocations, op12_robust_rules, op13_ranked_search,
     )
     return {f.__name__: f for f in every}
