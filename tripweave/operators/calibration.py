@@ -4,7 +4,8 @@ State is two tables: cells ``(origin, destination, trips, grad, grad_old, dir)``
 ``(edge_id, traffic, volume)``.  Cells and incidence are hash-partitioned alike, so a round joins and groups them
 without a shuffle; only per-edge partial sums cross the network, and only scalars reach the driver.
 Volumes are linear in the step, so one pass over the incidence per round gives both the step length and the
-next volumes.
+next volumes.  A round is two jobs: one writes the gradients and adds up the conjugacy sums on the way, the other writes
+the edges' slopes and adds up what the step and its bounds need.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.conf import ModelConf
 from tripweave.functions.formulas import step_lower, step_upper
 from tripweave.operators.demand import edge_volume_counted
-from tripweave.runtime import checkpoint, settle, small, static_plans
+from tripweave.runtime import checkpoint, checkpoint_observed, settle, small, static_plans
 
 METHODS = ("GM", "FR", "PR")
 PAIR = ["origin", "destination"]
@@ -62,17 +63,17 @@ def gradient(cells: DataFrame, counted: Counted, edges: DataFrame) -> DataFrame:
     return cells.join(sums, PAIR, "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
 
 
-def cg_beta(cells: DataFrame) -> DataFrame:
-    """Both conjugate-gradient coefficients, from ``grad`` and ``grad_old``; 0 once the old gradient has vanished."""
-    old = F.sum(F.col("grad_old") * F.col("grad_old"))
+def cg_sums() -> dict[str, Column]:
+    """What the conjugacy coefficients are made of."""
+    grad, old = F.col("grad"), F.col("grad_old")
+    return {"pr_top": F.sum((grad - old) * grad), "fr_top": F.sum(grad * grad), "old": F.sum(old * old)}
 
-    def over_old(top):
-        return F.when(old == 0, F.lit(0.0)).otherwise(F.try_divide(top, old))
 
-    return cells.agg(
-        over_old(F.sum((F.col("grad") - F.col("grad_old")) * F.col("grad"))).alias("pr"),
-        over_old(F.sum(F.col("grad") * F.col("grad"))).alias("fr"),
-    )
+def cg_beta(cells: DataFrame) -> DataFrame:
+    """Both conjugate-gradient coefficients, from ``grad`` and ``grad_old``; 0 once the old gradient has vanished."""
+    sums = cells.agg(*[value.alias(name) for name, value in cg_sums().items()])
+    over_old = lambda top: F.when(F.col("old") == 0, F.lit(0.0)).otherwise(F.try_divide(top, "old"))
+    return sums.select(over_old("pr_top").alias("pr"), over_old("fr_top").alias("fr"))
 
 
 def step_bounds(cells: DataFrame) -> DataFrame:
@@ -89,15 +90,37 @@ def edge_slopes(cells: DataFrame, counted: Counted, edges: DataFrame) -> DataFra
     return edges.join(counted.small(slopes), "edge_id").select("edge_id", "traffic", "volume", "slope")
 
 
+def edge_slopes_and_bounds(cells: DataFrame, counted: Counted, edges: DataFrame) -> DataFrame:
+    """As ``edge_slopes``, with ``lower`` and ``upper`` of the cells' steps in one more row, whose ``edge_id`` is null."""
+    none = F.lit(None)
+    slopes = counted.incidence.join(cells.select(*PAIR, "trips", "dir"), PAIR).select(
+        "edge_id", (-F.col("dir") * F.col("trips")).alias("slope"), none.cast("double").alias("lower"), none.cast("double").alias("upper")
+    )
+    bounds = cells.select(
+        none.cast("long").alias("edge_id"), none.cast("double").alias("slope"),
+        step_lower(F.col("dir")).alias("lower"), step_upper(F.col("dir")).alias("upper"),
+    )
+    moves = slopes.unionByName(bounds).groupBy("edge_id").agg(
+        F.sum("slope").alias("slope"), F.max("lower").alias("lower"), F.min("upper").alias("upper")
+    )
+    return moves.join(counted.small(edges), "edge_id", "left").select("edge_id", "traffic", "volume", "slope", "lower", "upper")
+
+
+def step_sums() -> dict[str, Column]:
+    """What the least-squares step and the error are made of."""
+    off = F.col("traffic") - F.col("volume")
+    return {"top": F.sum(F.col("slope") * off), "bottom": F.sum(F.col("slope") * F.col("slope")), "z": F.sum(off * off)}
+
+
 def best_step(sloped: DataFrame) -> DataFrame:
     """The unbounded least-squares step; 0 when no volume responds."""
-    top = F.sum(F.col("slope") * (F.col("traffic") - F.col("volume")))
-    bottom = F.sum(F.col("slope") * F.col("slope"))
-    off = F.col("traffic") - F.col("volume")
-    return sloped.agg(
-        F.when(bottom == 0, F.lit(0.0)).otherwise(F.try_divide(top, bottom)).alias("step"),
-        F.sum(off * off).alias("z"),
-    )
+    sums = sloped.agg(*[value.alias(name) for name, value in step_sums().items()])
+    step = F.when(F.col("bottom") == 0, F.lit(0.0)).otherwise(F.try_divide("top", "bottom"))
+    return sums.select(step.alias("step"), "z")
+
+
+def ratio(top: float, bottom: float) -> float:
+    return top / bottom if bottom else 0.0
 
 
 def clip(step: float, lower: float, upper: float) -> float:
@@ -133,20 +156,20 @@ def calibrate(od: DataFrame, counted: Counted, rounds: int, method: str) -> tupl
     history: list[dict] = []
     for i in range(rounds):
         with static_plans(spark):
-            cells = checkpoint(with_gradient(cells, counted, edges))
+            cells, sums = checkpoint_observed(with_gradient(cells, counted, edges), **cg_sums())
         beta = 0.0
         if i > 0 and method != "GM":
-            beta = cg_beta(cells).first()[method.lower()]
+            beta = ratio(sums[f"{method.lower()}_top"], sums["old"])
         cells = cells.withColumn("dir", F.col("grad") + F.lit(beta) * F.col("dir"))
-        sloped = checkpoint(edge_slopes(cells, counted, edges))
-        fit = best_step(sloped).first()
+        sloped, fit = checkpoint_observed(
+            edge_slopes_and_bounds(cells, counted, edges), **step_sums(), lower=F.max("lower"), upper=F.min("upper")
+        )
         if fit["z"] is None:
             raise ValueError("no counted edge lies on any path")
-        bounds = step_bounds(cells).first()
-        step = clip(fit["step"], bounds["lower"], bounds["upper"])
+        step = clip(ratio(fit["top"], fit["bottom"]), fit["lower"], fit["upper"])
         history.append({"round": i, "rmse": math.sqrt(fit["z"] / counted.n_counts), "step": step, "beta": beta})
         cells = take_step(cells, step)
-        edges = sloped.select(
+        edges = sloped.where("edge_id IS NOT NULL").select(
             "edge_id", "traffic", (F.col("volume") + F.lit(step) * F.col("slope")).alias("volume")
         )
     return cells.select(*PAIR, "trips"), history

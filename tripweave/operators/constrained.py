@@ -1,8 +1,9 @@
 """Calibration under cell, row, column and total limits: augmented Lagrangian with Frank-Wolfe steps.
 
-Beside the cells there are one table per margin, ``(side, total, lo, up, beta, delta)``, one row per zone, and the
-counted edges.  All of them are linear in the step, so each round sums directions once per table and needs
-the penalty slope at both ends of the step only.
+Beside the cells there is one table of sums over them, ``(side, key, total, lo, up, beta, delta)``: a row per origin, a row per
+destination, and a row per counted edge, whose volume is ``total`` and whose count is ``lo``. All of them are linear in the
+step. So a step is two jobs: one writes the cells' directions, the other sums these directions over all three sides in
+one grouping and adds up, on the way, the slope of the objective at both ends of the step. The total is a few numbers on the driver.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tripweave.functions.formulas import bracket, feasible_direction
 from tripweave.operators.calibration import PAIR, Counted, gradient
-from tripweave.operators.demand import Zoning, margin
-from tripweave.runtime import checkpoint, settle, static_plans
+from tripweave.operators.demand import Zoning
+from tripweave.runtime import checkpoint, checkpoint_observed, settle, small, static_plans
 
 Limit = Callable[[Column, str, int], Column]
 # The level a limit is asked for.
@@ -29,96 +30,114 @@ def with_limits(od: DataFrame, limit: Limit) -> DataFrame:
     )
 
 
-def margin_limits(od: DataFrame, side: str, limit: Limit) -> DataFrame:
-    zero = F.lit(0.0)
-    return margin(od, side).select(
-        side, "total", limit(F.col("total"), "lo", MARGIN).alias("lo"), limit(F.col("total"), "up", MARGIN).alias("up"),
-        zero.alias("beta"), zero.alias("delta"),
+MARGINS = {"row": "origin", "col": "destination"}
+EDGE = "edge"
+LIMITED = ("total", "lo", "up", "beta", "delta")
+
+
+def sums_by_side(cells: DataFrame, counted: Counted, value: str, name: str) -> DataFrame:
+    """``side, key`` and the sum of a cell value over each origin, each destination and each counted edge."""
+    margins = cells.select(
+        F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.col(zone).alias("key"), F.col(value).alias(name)) for side, zone in MARGINS.items()]))
     )
+    edges = counted.incidence.join(cells.select(*PAIR, value), PAIR).select(
+        F.lit(EDGE).alias("side"), F.col("edge_id").alias("key"), F.col(value).alias(name)
+    )
+    return margins.unionByName(edges).groupBy("side", "key").agg(F.sum(name).alias(name))
 
 
-def total_limits(od: DataFrame, limit: Limit) -> DataFrame:
+def margin_limits(cells: DataFrame, counted: Counted, limit: Limit) -> DataFrame:
+    """The sums of the matrix to start from, margins with limits frozen, edges with their counts."""
     zero = F.lit(0.0)
-    return od.agg(F.sum("trips").alias("total")).select(
-        "total", limit(F.col("total"), "lo", TOTAL).alias("lo"), limit(F.col("total"), "up", TOTAL).alias("up"),
-        zero.alias("beta"), zero.alias("delta"),
+    counts = counted.counts.select(F.lit(EDGE).alias("side"), F.col("edge_id").alias("key"), "traffic")
+    found = sums_by_side(cells, counted, "trips", "total").join(counted.small(counts), ["side", "key"], "left")
+    is_edge = F.col("side") == EDGE
+    return found.where(~is_edge | F.col("traffic").isNotNull()).select(
+        "side", "key", "total", F.when(is_edge, F.col("traffic")).otherwise(limit(F.col("total"), "lo", MARGIN)).alias("lo"),
+        F.when(~is_edge, limit(F.col("total"), "up", MARGIN)).alias("up"), zero.alias("beta"), zero.alias("delta"),
     )
 
 
+def side_of(marks: DataFrame, side: str) -> DataFrame:
+    return marks.where(F.col("side") == side)
+
+
+def margin_of(marks: DataFrame, side: str) -> DataFrame:
+    """``origin`` or ``destination`` with its total, limits and multipliers."""
+    return side_of(marks, side).select(F.col("key").alias(MARGINS[side]), *LIMITED)
+
+
+def edges_of(marks: DataFrame) -> DataFrame:
+    return side_of(marks, EDGE).select(F.col("key").alias("edge_id"), F.col("lo").alias("traffic"), F.col("total").alias("volume"))
+
+
+def total_limits(od: DataFrame, limit: Limit) -> dict[str, float]:
+    total = F.col("total")
+    found = od.agg(F.sum("trips").alias("total")).select("total", limit(total, "lo", TOTAL).alias("lo"), limit(total, "up", TOTAL).alias("up")).first()
+    return {**found.asDict(), "beta": 0.0, "delta": 0.0}
+
+
 def penalty(total, lo, up, beta, delta, scale: float) -> Column:
     """Slope of the penalty in a sum: negative below its limits, positive above, 0 inside."""
     return F.lit(2.0 * scale) * (bracket(total - lo + beta) - bracket(up - total + delta))
 
 
-def penalty_of(prefix: str, scale: float, moved: Column | None = None) -> Column:
-    c = {k: F.col(prefix + k) for k in ("total", "lo", "up", "beta", "delta")}
-    total = c["total"] if moved is None else moved
-    return penalty(total, c["lo"], c["up"], c["beta"], c["delta"], scale)
+def penalty_of(scale: float, moved: Column | None = None) -> Column:
+    total, *rest = (F.col(c) for c in LIMITED)
+    return penalty(total if moved is None else moved, *rest, scale)
+
+
+def total_penalty(total: dict[str, float], moved: float, scale: float) -> float:
+    below = min(total["total"] + moved - total["lo"] + total["beta"], 0.0)
+    above = min(total["up"] - total["total"] - moved + total["delta"], 0.0)
+    return 2.0 * scale * (below - above)
 
 
 def margin_join(cells: DataFrame, table: DataFrame, side: str, scale: float, zoning: Zoning) -> DataFrame:
     """``cells`` with the penalty slope of their row or column."""
-    slopes = table.select(side, penalty_of("", scale).alias(f"{side}_penalty"))
+    slopes = table.select(side, penalty_of(scale).alias(f"{side}_penalty"))
     return cells.join(zoning.small(slopes), side)
 
 
-def lagrange_gradient(cells: DataFrame, counted: Counted, edges: DataFrame, rows: DataFrame, cols: DataFrame,
-                      total: dict, scale: float, penalty_terms: str, zoning: Zoning) -> DataFrame:
+def lagrange_gradient(cells: DataFrame, counted: Counted, marks: DataFrame, total: dict[str, float], scale: float,
+                      penalty_terms: str, zoning: Zoning) -> DataFrame:
     """``cells`` with ``grad``: twice the residual sum plus the penalty slopes.
 
     ``penalty_terms='all'`` takes rows, columns and total, as published; ``'rows'`` takes rows only.
     """
-    cells = gradient(cells, counted, edges)
-    cells = margin_join(cells, rows, "origin", scale, zoning)
-    grad = 2.0 * F.col("g") + F.col("origin_penalty")
+    cells = gradient(cells, counted, edges_of(marks))
+    grad = 2.0 * F.col("g")
+    for side in MARGINS if penalty_terms == "all" else ("row",):
+        cells = margin_join(cells, margin_of(marks, side), MARGINS[side], scale, zoning)
+        grad = grad + F.col(f"{MARGINS[side]}_penalty")
     if penalty_terms == "all":
-        cells = margin_join(cells, cols, "destination", scale, zoning)
-        whole = penalty(*[F.lit(total[k]) for k in ("total", "lo", "up", "beta", "delta")], scale)
-        grad = grad + F.col("destination_penalty") + whole
+        grad = grad + F.lit(total_penalty(total, 0.0, scale))
     return cells.withColumn("grad", grad)
 
 
-def end_slopes(moves: DataFrame, scale: float) -> list[Column]:
-    """Penalty slopes along the step at its start and end, summed over a table with ``total`` and ``move``."""
-    return [
-        F.sum(F.col("move") * penalty_of("", scale, F.col("total") + F.lit(at) * F.col("move"))).alias(name)
-        for at, name in ((0.0, "p0"), (1.0, "p1"))
-    ]
+def moved_marks(directed: DataFrame, counted: Counted, marks: DataFrame, zoning: Zoning) -> DataFrame:
+    """``marks`` with ``move``: how each sum changes over the whole step."""
+    moves = sums_by_side(directed, counted, "dir", "move")
+    bound = 2 * zoning.n + counted.n_counts
+    return small(marks, bound, counted.conf.broadcast_rows).join(moves, ["side", "key"])
 
 
-def edge_moves(cells: DataFrame, counted: Counted, edges: DataFrame) -> DataFrame:
-    moves = (
-        counted.incidence.join(cells.select(*PAIR, "dir"), PAIR)
-        .groupBy("edge_id").agg(F.sum("dir").alias("move"))
-    )
-    return edges.join(counted.small(moves), "edge_id").select("edge_id", "traffic", "volume", "move")
+def slope_sums(scale: float) -> dict[str, Column]:
+    """Slope of edges and margins along the step at its start and end, the squared error, and how the total changes."""
+    is_edge, move = F.col("side") == EDGE, F.col("move")
+    gap = F.col("total") - F.col("lo")
 
+    def slope(at: float) -> Column:
+        moved = F.col("total") + F.lit(at) * move
+        return F.sum(F.when(is_edge, 2.0 * move * (gap + F.lit(at) * move)).otherwise(move * penalty_of(scale, moved)))
 
-def margin_moves(cells: DataFrame, table: DataFrame, side: str, zoning: Zoning) -> DataFrame:
-    moves = cells.groupBy(side).agg(F.sum("dir").alias("move"))
-    return table.join(zoning.small(moves), side)
+    return {"p0": slope(0.0), "p1": slope(1.0), "z": F.sum(F.when(is_edge, gap * gap)), "move": F.sum(F.when(F.col("side") == "row", move))}
 
 
-def line_slopes(edges: DataFrame, rows: DataFrame, cols: DataFrame, total: DataFrame, scale: float) -> DataFrame:
-    """Slope of the whole objective at step 0 and step 1, in one job over the four moved tables."""
-    gap = F.col("volume") - F.col("traffic")
-    counted_part = edges.agg(
-        F.sum(2.0 * F.col("move") * gap).alias("p0"),
-        F.sum(2.0 * F.col("move") * (gap + F.col("move"))).alias("p1"),
-        F.sum(gap * gap).alias("z"), F.lit(None).cast("double").alias("total_move"),
-    )
-    parts = [
-        t.agg(*end_slopes(t, scale), F.lit(None).cast("double").alias("z"), last)
-        for t, last in (
-            (rows, F.lit(None).cast("double").alias("total_move")),
-            (cols, F.lit(None).cast("double").alias("total_move")),
-            (total, F.sum("move").alias("total_move")),
-        )
-    ]
-    every = counted_part
-    for part in parts:
-        every = every.unionByName(part)
-    return every.agg(*[F.sum(c).alias(c) for c in ("p0", "p1", "z", "total_move")])
+def whole_slopes(sums: dict, total: dict[str, float], scale: float) -> tuple[float, float]:
+    """Slope of the whole objective at step 0 and step 1."""
+    move = sums["move"]
+    return sums["p0"] + move * total_penalty(total, 0.0, scale), sums["p1"] + move * total_penalty(total, move, scale)
 
 
 def line_step(p0: float, p1: float) -> float:
@@ -128,13 +147,22 @@ def line_step(p0: float, p1: float) -> float:
     return 0.0 if abs(p0) < abs(p1) else 1.0
 
 
-def updated_multipliers(table: DataFrame, rule: str) -> DataFrame:
-    """Add what is left to each limit: ``raw`` as it is, ``bracket`` its negative part only."""
+def updated_multipliers(marks: DataFrame, rule: str) -> DataFrame:
+    """Add what is left to each limit: ``raw`` as it is, ``bracket`` its negative part only; edges have no multipliers."""
     below = F.col("total") - F.col("lo") + F.col("beta")
     above = F.col("up") - F.col("total") + F.col("delta")
     if rule == "bracket":
         below, above = bracket(below), bracket(above)
-    return table.withColumns({"beta": below, "delta": above})
+    kept = F.col("side") == EDGE
+    return marks.withColumns({"beta": F.when(kept, F.col("beta")).otherwise(below), "delta": F.when(kept, F.col("delta")).otherwise(above)})
+
+
+def updated_total(total: dict[str, float], rule: str) -> dict[str, float]:
+    below = total["total"] - total["lo"] + total["beta"]
+    above = total["up"] - total["total"] + total["delta"]
+    if rule == "bracket":
+        below, above = min(below, 0.0), min(above, 0.0)
+    return {**total, "beta": below, "delta": above}
 
 
 def constraint_check_cell(cells: DataFrame) -> DataFrame:
@@ -167,35 +195,27 @@ def calibrate_lagrange(od: DataFrame, counted: Counted, zoning: Zoning, m: int,
     spark = od.sparkSession
     counted = counted.settle()
     cells = settle(with_limits(od, limit), *PAIR)
-    rows = checkpoint(margin_limits(cells, "origin", limit))
-    cols = checkpoint(margin_limits(cells, "destination", limit))
-    total = checkpoint(total_limits(cells, limit))
-    edges = checkpoint(counted.edge_state(cells))
+    marks = checkpoint(margin_limits(cells, counted, limit))
+    total = total_limits(cells, limit)
     history: list[dict] = []
     for i in range(s + 1):
         for j in range(m + 1):
-            whole = total.first().asDict()
-            graded = lagrange_gradient(cells, counted, edges, rows, cols, whole, scale, penalty_terms, zoning)
+            graded = lagrange_gradient(cells, counted, marks, total, scale, penalty_terms, zoning)
             directed = graded.select(
                 *PAIR, "trips", "lo", "up",
                 feasible_direction(F.col("grad"), F.col("trips"), F.col("lo"), F.col("up")).alias("dir"),
             )
             with static_plans(spark):
                 directed = checkpoint(directed)
-            edges = checkpoint(edge_moves(directed, counted, edges))
-            rows = checkpoint(margin_moves(directed, rows, "origin", zoning))
-            cols = checkpoint(margin_moves(directed, cols, "destination", zoning))
-            total = total.withColumn("move", F.lit(rows.agg(F.sum("move")).first()[0]))
-            ends = line_slopes(edges, rows, cols, total, scale).first()
-            if ends["z"] is None:
+            marks, sums = checkpoint_observed(moved_marks(directed, counted, marks, zoning), **slope_sums(scale))
+            if sums["z"] is None:
                 raise ValueError("no counted edge lies on any path")
-            step = line_step(ends["p0"], ends["p1"])
-            history.append({"subproblem": i, "round": j, "z": ends["z"], "step": step})
+            step = line_step(*whole_slopes(sums, total, scale))
+            history.append({"subproblem": i, "round": j, "z": sums["z"], "step": step})
             cells = directed.withColumn("trips", F.col("trips") + F.lit(step) * F.col("dir")).drop("dir")
             moved = (F.col("total") + F.lit(step) * F.col("move")).alias("total")
-            edges = edges.select("edge_id", "traffic", (F.col("volume") + F.lit(step) * F.col("move")).alias("volume"))
-            rows, cols, total = (
-                t.select(*[moved if c == "total" else c for c in t.columns if c != "move"]) for t in (rows, cols, total)
-            )
-        rows, cols, total = (updated_multipliers(t, multiplier_update) for t in (rows, cols, total))
-    return {"cells": cells, "rows": rows, "cols": cols, "total": total, "history": history}
+            marks = marks.select(*[moved if c == "total" else c for c in marks.columns if c != "move"])
+            total["total"] += step * sums["move"]
+        marks, total = updated_multipliers(marks, multiplier_update), updated_total(total, multiplier_update)
+    whole = spark.createDataFrame([tuple(total[c] for c in LIMITED)], ", ".join(f"{c} double" for c in LIMITED))
+    return {"cells": cells, "rows": margin_of(marks, "row"), "cols": margin_of(marks, "col"), "total": whole, "history": history}

@@ -11,7 +11,7 @@ from tripweave.functions import formulas
 from tripweave.operators import assignment, calibration, constrained, contraction, demand, fit, network, paths, skim
 from tripweave.plans.driver_network import DriverNetwork, derive_chains, table
 from tripweave.operators.network import Network
-from tripweave.runtime import checkpoint
+from tripweave.runtime import checkpoint, checkpoint_observed
 
 # Parameters shared with the oracle.
 TANNER = (0.5, 0.05)
@@ -410,21 +410,16 @@ def udf_limit(d: DriverNetwork) -> DataFrame:
 
 
 def lagrange_state(d: DriverNetwork):
-    """Cells, edges and margins before the first step, with multipliers as after one update so that penalties act."""
+    """Cells, sums and total before the first step, with multipliers as after one update so that penalties act."""
     cells = checkpoint(constrained.with_limits(d.od, limit))
-    edges = checkpoint(d.counted.edge_state(cells))
-    rows = constrained.updated_multipliers(constrained.margin_limits(cells, "origin", limit), "raw")
-    cols = constrained.updated_multipliers(constrained.margin_limits(cells, "destination", limit), "raw")
-    total = constrained.updated_multipliers(constrained.total_limits(cells, limit), "raw")
-    return cells, edges, rows, cols, total
+    marks = checkpoint(constrained.updated_multipliers(constrained.margin_limits(cells, d.counted, limit), "raw"))
+    return cells, marks, constrained.updated_total(constrained.total_limits(cells, limit), "raw")
 
 
 def lagrange_graded(d: DriverNetwork):
-    cells, edges, rows, cols, total = lagrange_state(d)
-    graded = constrained.lagrange_gradient(
-        cells, d.counted, edges, rows, cols, total.first().asDict(), LAGRANGE_SCALE, "all", d.model.zoning
-    )
-    return graded, edges, rows, cols, total
+    cells, marks, total = lagrange_state(d)
+    graded = constrained.lagrange_gradient(cells, d.counted, marks, total, LAGRANGE_SCALE, "all", d.model.zoning)
+    return graded, marks, total
 
 
 def lagrange_gradient(d: DriverNetwork) -> DataFrame:
@@ -441,17 +436,12 @@ def fw_direction(d: DriverNetwork) -> DataFrame:
 
 
 def lagrange_line_search(d: DriverNetwork) -> DataFrame:
-    graded, edges, rows, cols, total = lagrange_graded(d)
+    graded, marks, total = lagrange_graded(d)
     cells = checkpoint(directed(graded))
-    zoning = d.model.zoning
-    edges = constrained.edge_moves(cells, d.counted, edges)
-    rows = constrained.margin_moves(cells, rows, "origin", zoning)
-    cols = constrained.margin_moves(cells, cols, "destination", zoning)
-    total = total.withColumn("move", F.lit(cells.agg(F.sum("dir")).first()[0]))
-    ends = constrained.line_slopes(edges, rows, cols, total, LAGRANGE_SCALE)
-    p0, p1 = F.col("p0"), F.col("p1")
-    step = F.when(p0 * p1 < 0, F.abs(p0) / (F.abs(p0) + F.abs(p1))).when(F.abs(p0) < F.abs(p1), 0.0).otherwise(1.0)
-    return ends.select(rounded("p0", "p0", 2), rounded("p1", "p1", 2), rounded(step, "step", 9))
+    _, sums = checkpoint_observed(constrained.moved_marks(cells, d.counted, marks, d.model.zoning), **constrained.slope_sums(LAGRANGE_SCALE))
+    p0, p1 = constrained.whole_slopes(sums, total, LAGRANGE_SCALE)
+    ends = d.spark.createDataFrame([(p0, p1, constrained.line_step(p0, p1))], "p0 double, p1 double, step double")
+    return ends.select(rounded("p0", "p0", 2), rounded("p1", "p1", 2), rounded("step", "step", 9))
 
 
 def lagrange_run(d: DriverNetwork) -> dict:
@@ -494,7 +484,7 @@ def multiplier_lookup(d: DriverNetwork) -> DataFrame:
     """Row totals with limits and multipliers, and the penalty slope that follows."""
     return lagrange_run(d)["rows"].select(
         "origin", *[rounded(c, c) for c in ("total", "lo", "up", "beta", "delta")],
-        rounded(constrained.penalty_of("", LAGRANGE_SCALE), "penalty"),
+        rounded(constrained.penalty_of(LAGRANGE_SCALE), "penalty"),
     )
 
 

@@ -6,16 +6,19 @@ import os
 import threading
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _changing = threading.RLock()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, where unset one beside the session's warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, where unset, in a local session only, one beside its warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     return folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
 
@@ -32,6 +35,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``checkpoint``, with aggregates over the rows, which the job that writes them computes on the way."""
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    written = df.observe(seen, *[value.alias(name) for name, value in metrics.items()]).checkpoint(eager=True)
+    return written, seen.get
+
+
 @contextmanager
 def static_plans(spark: SparkSession):
     """Plan without runtime re-planning, so that a checkpoint keeps the hash partitioning it was built with.
@@ -72,10 +83,15 @@ def settle(df: DataFrame, *keys: str, ordered: bool = False) -> DataFrame:
 
     ``ordered`` also sorts each partition by the keys, for tables that several merge joins will read.
     """
+    return settle_observed(df, *keys, ordered=ordered, n=F.count(F.lit(1)))[0]
+
+
+def settle_observed(df: DataFrame, *keys: str, ordered: bool = False, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``settle``, with aggregates over the rows from the same job."""
     spark = df.sparkSession
     with static_plans(spark):
         df = df.repartition(partitions(spark), *keys)
-        return checkpoint(df.sortWithinPartitions(*keys) if ordered else df)
+        return checkpoint_observed(df.sortWithinPartitions(*keys) if ordered else df, **metrics)
 
 
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
