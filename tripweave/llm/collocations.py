@@ -4,8 +4,10 @@ Every word of a piece leads one window: the word and up to four that follow, pad
 windows are counted. ROLLUP over their columns then sums them over ever shorter prefixes, and as each occurrence of a phrase is the
 prefix of exactly one window, these sums are the counts of all phrases of one to five words.
 
-A phrase of enough occurrences holds frequent words only, so a first pass counts words, and windows end before a rare one. Windows
-carry numbers: a dictionary of fixed size has the most frequent words, and words beyond it go by their 64-bit hash.
+A phrase of enough occurrences holds only words, and pairs of neighbours, of as many. So words and pairs are counted first, and windows end
+before a rare word and between the words of a rare pair. Windows carry numbers: a dictionary of fixed size has the most frequent
+words, and words beyond it go by their 64-bit hash. Frequent pairs are known by a bitmap that grows with them up to a fixed size; a
+rare pair it takes for a frequent one only makes a window longer than need be.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ TOP = 2000  # phrases of a language
 SHARE = 100  # percent of a phrase's occurrences that lie inside one longer phrase, from which on it is dropped
 NO_LANG = "und"
 DICTIONARY_ROWS = 1 << 21  # words with a number of their own: 8 bytes each in every task
-RUN_BYTES = 4 << 20
+PAIR_BITS = 1 << 23  # at most, of the bitmap of frequent pairs; it has CELLS_A_PAIR bits for each as long as they fit
+CELLS_A_PAIR = 16
+RUN_BYTES = 2 << 20
 SALTS = 64
 
 # What ends a piece, and blank and tab, which separate its words.
@@ -94,19 +98,51 @@ def _numbered(frequent: DataFrame, dictionary) -> DataFrame:
     return frequent.select("lang", "word").mapInArrow(work, "number long, lang string, word string")
 
 
-def lead_windows(langs: pa.Array, texts: pa.Array, dictionary: Dictionary, longest: int = LONGEST) -> np.ndarray:
-    """One row per word that is not rare: its number and those that follow in its piece, ``PAD`` from the end or a rare word on."""
+class Pairs:
+    """A bitmap of frequent pairs of numbers; without one every pair may be frequent."""
+
+    def __init__(self, bits: np.ndarray | None = None) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def cells(one: np.ndarray, two: np.ndarray, size: int) -> np.ndarray:
+        return (mix(mix(one.astype(np.uint64)) + two.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+    def frequent(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return np.ones(len(one), bool) if self.bits is None else self.bits[self.cells(one, two, len(self.bits))]
+
+
+def _pair_bitmap(pairs: DataFrame, limit: int = PAIR_BITS) -> Pairs:
+    """The bitmap of ``pairs(w1, w2)``; only its cells come to the driver, ``limit`` at most."""
+    size = 1 << 10
+    wanted = CELLS_A_PAIR * pairs.count()
+    while size < min(wanted, limit):
+        size *= 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(Pairs.cells(np.asarray(batch.column(0)), np.asarray(batch.column(1)), size))], names=["cell"])
+
+    bits = np.zeros(size, bool)
+    for batch in pairs.select("w1", "w2").mapInArrow(work, "cell long").distinct().toArrow().to_batches():
+        bits[np.asarray(batch.column(0))] = True
+    return Pairs(bits)
+
+
+def lead_windows(langs: pa.Array, texts: pa.Array, dictionary: Dictionary, pairs: Pairs, longest: int = LONGEST) -> np.ndarray:
+    """One row per word that is not rare: its number and those that follow in its piece, ``PAD`` from the end, a rare word or a rare pair on."""
     words = Words(texts, WORD_BYTES)
     of = np.repeat(np.arange(len(texts)), words.counts)
     numbers = dictionary.numbers(_keys(langs, words.hashes, of))
-    ends = np.concatenate([[0], np.cumsum(_ENDS[words.data])])
-    piece = ends[words.starts] + of  # grows with both, so it is equal within a piece of a text only
+    piece = np.concatenate([[0], np.cumsum(_ENDS[words.data])])[words.starts]
+    joined = (piece[1:] == piece[:-1]) & (of[1:] == of[:-1]) & (numbers[1:] != PAD) & (numbers[:-1] != PAD)
+    at = np.flatnonzero(joined)
+    joined[at] = pairs.frequent(numbers[at], numbers[at + 1])
     columns = [numbers]
     for k in range(1, longest):
         lead = np.full(len(numbers), PAD, np.int64)
-        if k < len(numbers):
-            goes_on = (piece[k:] == piece[:-k]) & (of[k:] == of[:-k]) & (columns[-1][:-k] != PAD)
-            lead[:-k][goes_on] = numbers[k:][goes_on]
+        goes_on = np.flatnonzero((columns[-1][:-k] != PAD) & joined[k - 1 :])
+        lead[goes_on] = numbers[goes_on + k]
         columns.append(lead)
     made = np.stack(columns, axis=1)
     return made[numbers != PAD]
@@ -128,8 +164,8 @@ def count_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.concatenate([first, [len(rows)]]))
 
 
-def _windows(texts: DataFrame, dictionary, longest: int) -> DataFrame:
-    """``w1`` to ``w5`` and ``n``: the padded longest windows, counted within each run of texts."""
+def _windows(texts: DataFrame, dictionary, pairs, longest: int) -> DataFrame:
+    """``w1`` and on, and ``n``: the padded windows of ``longest`` words, counted within each run of texts."""
     names = [f"w{k + 1}" for k in range(longest)]
     small_batches(texts.sparkSession)
 
@@ -137,7 +173,7 @@ def _windows(texts: DataFrame, dictionary, longest: int) -> DataFrame:
         for batch in batches:
             for start, stop in runs(batch.column(1), RUN_BYTES):
                 part = batch.slice(start, stop - start)
-                rows, counts = count_rows(lead_windows(part.column(0), part.column(1), dictionary.value, longest))
+                rows, counts = count_rows(lead_windows(part.column(0), part.column(1), dictionary.value, pairs.value, longest))
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(longest)), pa.array(counts.astype(np.int64))], names=[*names, "n"])
 
@@ -146,9 +182,12 @@ def _windows(texts: DataFrame, dictionary, longest: int) -> DataFrame:
 
 def phrase_counts(texts: DataFrame, frequent: DataFrame, least: int = LEAST, longest: int = LONGEST, dictionary_rows: int = DICTIONARY_ROWS) -> DataFrame:
     """``lang, words, a`` of every phrase of up to ``longest`` words with ``least`` occurrences; ``texts`` is ``lang, text``."""
-    dictionary = texts.sparkSession.sparkContext.broadcast(_dictionary(frequent, dictionary_rows))
+    send = texts.sparkSession.sparkContext.broadcast
+    dictionary = send(_dictionary(frequent, dictionary_rows))
+    two = _windows(texts, dictionary, send(Pairs()), 2).where(F.col("w2") != PAD).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    pairs = send(_pair_bitmap(saved(two.where(F.col("n") >= least))))
     names = [f"w{k + 1}" for k in range(longest)]
-    windows = _windows(texts, dictionary, longest).groupBy(*names).agg(F.sum("n").alias("n"))
+    windows = _windows(texts, dictionary, pairs, longest).groupBy(*names).agg(F.sum("n").alias("n"))
     sums = windows.rollup(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     # Columns a prefix leaves out are null; a prefix that ends in padding is no phrase.
     numbers = F.filter(F.array(*names), lambda x: x.isNotNull())
