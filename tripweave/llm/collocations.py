@@ -12,7 +12,7 @@ rare pair it takes for a frequent one only makes a window longer than need be.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import Words, flat_bytes, mix, runs, saved, signed, small_batches, span_hashes
+from tripweave.runtime import small
 
 LONGEST = 5
 LEAST = 100  # occurrences of a phrase
@@ -31,6 +32,7 @@ PAIR_BITS = 1 << 23  # at most, of the bitmap of frequent pairs; it has CELLS_A_
 CELLS_A_PAIR = 16
 RUN_BYTES = 2 << 20
 SALTS = 64
+LANGS = 100_000  # broadcast bound of the table of languages
 
 # What ends a piece, and blank and tab, which separate its words.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -105,26 +107,33 @@ class Pairs:
         self.bits = bits
 
     @staticmethod
-    def cells(one: np.ndarray, two: np.ndarray, size: int) -> np.ndarray:
-        return (mix(mix(one.astype(np.uint64)) + two.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+    def cells(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """A 32-bit hash of each pair."""
+        return (mix(mix(one.astype(np.uint64)) + two.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
     def frequent(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return np.ones(len(one), bool) if self.bits is None else self.bits[self.cells(one, two, len(self.bits))]
+        return np.ones(len(one), bool) if self.bits is None else self.bits[self.cells(one, two) & (len(self.bits) - 1)]
 
 
-def _pair_bitmap(pairs: DataFrame, limit: int = PAIR_BITS) -> Pairs:
-    """The bitmap of ``pairs(w1, w2)``; only its cells come to the driver, ``limit`` at most."""
+def _pair_bitmap(texts: DataFrame, dictionary, least: int, limit: int = PAIR_BITS) -> Pairs:
+    """The bitmap of the pairs with ``least`` occurrences. Pairs are counted by their hash: a count may be too high, never too low.
+
+    Only the bitmap's cells come to the driver, ``limit`` at most.
+    """
+
+    def count(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+        rows = lead_windows(part.column(0), part.column(1), dictionary.value, Pairs(), 2)
+        rows = rows[rows[:, 1] != PAD]
+        cells, counts = np.unique(Pairs.cells(rows[:, 0], rows[:, 1]), return_counts=True)
+        return [cells], counts
+
+    cells = saved(_counted_runs(texts, ["cell"], count).groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("cell"))
     size = 1 << 10
-    wanted = CELLS_A_PAIR * pairs.count()
+    wanted = CELLS_A_PAIR * cells.count()
     while size < min(wanted, limit):
         size *= 2
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(Pairs.cells(np.asarray(batch.column(0)), np.asarray(batch.column(1)), size))], names=["cell"])
-
     bits = np.zeros(size, bool)
-    for batch in pairs.select("w1", "w2").mapInArrow(work, "cell long").distinct().toArrow().to_batches():
+    for batch in cells.select(F.col("cell").bitwiseAND(size - 1).alias("cell")).distinct().toArrow().to_batches():
         bits[np.asarray(batch.column(0))] = True
     return Pairs(bits)
 
@@ -164,28 +173,35 @@ def count_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.concatenate([first, [len(rows)]]))
 
 
-def _windows(texts: DataFrame, dictionary, pairs, longest: int) -> DataFrame:
-    """``w1`` and on, and ``n``: the padded windows of ``longest`` words, counted within each run of texts."""
-    names = [f"w{k + 1}" for k in range(longest)]
+def _counted_runs(texts: DataFrame, names: list[str], count: Callable[[pa.RecordBatch], tuple[list[np.ndarray], np.ndarray]]) -> DataFrame:
+    """Columns ``names`` and ``n`` of what ``count`` finds in each run of ``texts(lang, text)``."""
     small_batches(texts.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in runs(batch.column(1), RUN_BYTES):
-                part = batch.slice(start, stop - start)
-                rows, counts = count_rows(lead_windows(part.column(0), part.column(1), dictionary.value, pairs.value, longest))
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(longest)), pa.array(counts.astype(np.int64))], names=[*names, "n"])
+                columns, counts = count(batch.slice(start, stop - start))
+                if len(counts):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts.astype(np.int64))], names=[*names, "n"])
 
     return texts.select("lang", "text").mapInArrow(work, ", ".join(f"{c} long" for c in [*names, "n"]))
 
 
+def _windows(texts: DataFrame, dictionary, pairs, longest: int) -> DataFrame:
+    """``w1`` and on, and ``n``: the padded windows of ``longest`` words, counted within each run of texts."""
+
+    def count(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+        rows, counts = count_rows(lead_windows(part.column(0), part.column(1), dictionary.value, pairs.value, longest))
+        return [np.ascontiguousarray(rows[:, k]) for k in range(longest)], counts
+
+    return _counted_runs(texts, [f"w{k + 1}" for k in range(longest)], count)
+
+
 def phrase_counts(texts: DataFrame, frequent: DataFrame, least: int = LEAST, longest: int = LONGEST, dictionary_rows: int = DICTIONARY_ROWS) -> DataFrame:
     """``lang, words, a`` of every phrase of up to ``longest`` words with ``least`` occurrences; ``texts`` is ``lang, text``."""
     send = texts.sparkSession.sparkContext.broadcast
     dictionary = send(_dictionary(frequent, dictionary_rows))
-    two = _windows(texts, dictionary, send(Pairs()), 2).where(F.col("w2") != PAD).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
-    pairs = send(_pair_bitmap(saved(two.where(F.col("n") >= least))))
+    pairs = send(_pair_bitmap(texts, dictionary, least))
     names = [f"w{k + 1}" for k in range(longest)]
     windows = _windows(texts, dictionary, pairs, longest).groupBy(*names).agg(F.sum("n").alias("n"))
     sums = windows.rollup(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
@@ -203,7 +219,7 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     cut = phrases.where(F.size("words") > 1).select("lang", "words", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("cut"))
     cut = cut.withColumns({"one": F.slice("words", F.lit(1), F.col("cut")), "two": F.slice("words", F.col("cut") + 1, F.size("words") - F.col("cut"))})
     part = lambda name, count: phrases.select("lang", F.col("words").alias(name), F.col("a").alias(count))
-    whole = cut.join(part("one", "l"), ["lang", "one"]).join(part("two", "r"), ["lang", "two"]).join(totals, "lang")
+    whole = cut.join(part("one", "l"), ["lang", "one"]).join(part("two", "r"), ["lang", "two"]).join(small(totals, totals.count(), LANGS), "lang")
     exact = lambda c: f"CAST({c} AS DECIMAL(18,0))"
     score = F.expr(f"CAST(({exact('a')} * {exact('n')} * 1000BD) div ({exact('l')} * {exact('r')}) AS BIGINT)")
     best = F.min(F.struct(score.alias("score"), F.col("cut"), F.col("l"), F.col("r"))).alias("best")
