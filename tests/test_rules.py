@@ -172,3 +172,25 @@ def test_fit_follows_the_plain_search(model, counts):
     known = {r.edge_id: r.traffic for r in counts.collect()}
     plain = brute_fit(cost, [tuple(r) for r in counted.incidence.collect()], known, {z: t for z, _, t in ZONE_ROWS}, (0.1, 0.1, 1.0), 6, 0.4)
     assert found.z == pytest.approx(plain, rel=1e-9)
+
+
+def test_settings_from_a_table(spark):
+    from tripweave.conf import ModelConf, checked_settings, from_settings
+
+    values = ["1.5", "-1", "NaN", "much", "kvadratic", "", None]
+    names = ["length_coef", "time_coef", "alpha", "F", "search_radius", "nothing", None]
+    table = spark.createDataFrame([(n, v) for n in names for v in values], "variable string, value string")
+    for row in checked_settings(table).collect():
+        try:
+            ModelConf().set(row["variable"], row["value"])
+            taken = True
+        except (ValueError, TypeError):
+            taken = False
+        assert taken == (row["refusal"] is None), row
+    good = spark.createDataFrame([("F", "kvadratic"), ("alpha", "2"), ("search_radius", "7")], "variable string, value string")
+    assert from_settings(good) == ModelConf(deterrence="kvadratic", alpha=2.0, search_radius=7.0)
+    assert from_settings(good.limit(0)) == ModelConf()
+    with pytest.raises(ValueError, match="unknown variable"):
+        from_settings(good.union(spark.createDataFrame([("delta", "1")], good.schema)))
+    with pytest.raises(ValueError, match="more than once"):
+        from_settings(good.union(good))

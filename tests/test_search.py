@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave import Model, ModelConf, Network
-from tripweave.operators import trees
+from tripweave.operators import skim, trees
 from tripweave.operators.contraction import contract
 from tripweave.operators.paths import hits_by_shrinking, hits_by_walking
 from tripweave.operators.skim import shortest_dist
@@ -205,3 +205,65 @@ def test_levels_move_no_rows(spark, network, sources, monkeypatch):
     plans.clear()
     trees.sum_up(loads, levels)
     assert plans[0].count("Exchange") <= 1  # the loads come to their sources once at most
+
+
+@pytest.mark.parametrize("band", [0.25, 1.0, math.inf])
+@pytest.mark.parametrize("broadcast_rows", [8_000_000, 0])
+def test_bands_give_the_same_labels(spark, sources, band, broadcast_rows):
+    rows = random_edges(11, nodes=60, n=200, least=0)
+    net = Network.from_edges(from_rows(spark, rows, EDGES))
+    conf = ModelConf(time_coef=0.0, broadcast_rows=broadcast_rows, hops_per_round=2, band=band)
+    assert labels(shortest_dist(net, sources, conf)) == {(s, n): d for s in SOURCES for n, d in plain(rows, s).items()}
+
+
+def test_a_round_is_one_job(spark, network, sources, monkeypatch):
+    rounds, real = [], skim.checkpoint_observed
+    monkeypatch.setattr(skim, "checkpoint_observed", lambda df, **m: rounds.append(real(df, **m)) or rounds[-1])
+    costs = network.arc_costs(1.0, 0.0)
+    start = sources.repartition(8, "src").select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(math.inf).alias("done"))
+    spark.sparkContext.setJobGroup("rounds", "search")
+    skim.search_by_source(start, costs, ModelConf(time_coef=0.0, hops_per_round=2), 4.0, 9.0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    assert len(rounds) > 3
+    # Each round sends the arcs to all tasks and writes the labels; before the first the table of arcs is made, at the end all labels are put together.
+    assert jobs <= 2 * len(rounds) + 4
+    assert rounds[-1][1]["n_open"] == 0 and all(r[1]["n_open"] for r in rounds[:-1])
+
+
+def test_settled_labels_are_not_written_again(spark, monkeypatch):
+    rows = [(i, i, i + 1, 1.0, 0.0, False) for i in range(60)]
+    net = Network.from_edges(from_rows(spark, rows, EDGES))
+    sizes, real = [], skim.checkpoint_observed
+    monkeypatch.setattr(skim, "checkpoint_observed", lambda df, **m: sizes.append(real(df, **m)) or sizes[-1])
+    found = shortest_dist(net, spark.createDataFrame([(0,)], "src long"), ModelConf(time_coef=0.0, hops_per_round=4))
+    assert labels(found) == {(0, i): float(i) for i in range(61)}
+    written = [df.count() for df, _ in sizes[1:]]
+    assert len(written) > 10 and max(written) <= 8
+
+
+@pytest.mark.parametrize("some", [1, 12])
+@pytest.mark.parametrize("step", [0.0, 3.0, math.inf])
+def test_sweep_sums_subtrees(network, sources, some, step):
+    tree = Skim(network, sources.limit(some), ModelConf(time_coef=0.0)).tree
+    loads = tree.where("node % 3 <> 0").select("src", "node", F.when(F.col("node") % 5 != 0, F.col("node") - 7.0).alias("load"))
+    above = {(r.src, r.node): (r.up, r.link_id) for r in tree.collect()}
+    expect = {}
+    for r in loads.collect():
+        at = r.node
+        while at != r.src:
+            up, link = above[r.src, at]
+            expect.setdefault((r.src, at, link), []).append(r.load)
+            at = up
+    total = {k: None if all(x is None for x in v) else sum(x for x in v if x is not None) for k, v in expect.items()}
+    found = trees.sweep_up(loads, tree, step, 3).collect()
+    assert {(r.src, r.node, r.link_id): r.load for r in found} == total and len(found) == len(total)
+    assert trees.sweep_up(loads.limit(0), tree, step, 3).collect() == []
+
+
+def test_assignment_builds_no_levels(spark, network, monkeypatch):
+    model = Model(network, zones_at(spark, SOURCES), ModelConf(time_coef=0.0))
+    od = model.cost_matrix().withColumnRenamed("cost", "trips")
+    volumes = {r.edge_id: r.volume for r in model.assign(od).collect()}
+    assert "levels" not in model.skim.__dict__
+    assert volumes == pytest.approx({r.edge_id: r.volume for r in model.assign_v1(od).collect()})

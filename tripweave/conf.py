@@ -6,7 +6,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tripweave.functions.formulas import DETERRENCE
 
@@ -21,6 +22,9 @@ SETTERS = {
     "search_radius": "search_radius",
 }
 
+# Settings that must not be negative or undefined.
+WEIGHTS = ("length_coef", "time_coef")
+
 
 @dataclass(frozen=True)
 class ModelConf:
@@ -29,7 +33,9 @@ class ModelConf:
     ``deterrence`` is one of the names in ``DETERRENCE`` or a function that takes the cost column and
     returns a column.  ``broadcast_rows`` bounds every table the engine broadcasts by hint: a table
     whose counted rows exceed it is joined by shuffle instead.  ``hops_per_round`` is the number of
-    arcs a label may advance per Spark job when the search runs without a shuffle.
+    arcs a label may advance per Spark job when the search runs without a shuffle.  ``band`` is how many mean arc
+    costs the front of the search moves on per hop: less means fewer labels expanded too early, but more hops;
+    infinity expands every label at once.
     """
 
     length_coef: float = 1.0
@@ -40,13 +46,14 @@ class ModelConf:
     deterrence: str | Callable[[Column], Column] = "log_normal"
     search_radius: float = math.inf
     broadcast_rows: int = 8_000_000
-    hops_per_round: int = 6
+    hops_per_round: int = 8
+    band: float = 1.0
 
     def set(self, variable: str, value) -> ModelConf:
         """Return a copy with one parameter changed; unknown names raise."""
         if variable not in SETTERS:
             raise ValueError(f"unknown variable {variable!r}; use one of {', '.join(SETTERS)}")
-        if variable in ("length_coef", "time_coef") and not float(value) >= 0:
+        if variable in WEIGHTS and not float(value) >= 0:
             raise ValueError(f"{variable} must not be negative or undefined: {value}")
         if variable != "F":
             return replace(self, **{SETTERS[variable]: float(value)})
@@ -60,3 +67,31 @@ class ModelConf:
         if self.deterrence == "top_log_normal" and self.gamma <= 0:
             raise ValueError("top_log_normal needs gamma > 0")
         return DETERRENCE[self.deterrence](cost, self.alpha, self.beta, self.gamma)
+
+
+def checked_settings(settings: DataFrame) -> DataFrame:
+    """``settings(variable, value)``, all strings, with ``field``, what the variable sets, and ``refusal``, null where
+    ``ModelConf.set`` would take the value."""
+    number = F.expr("try_cast(value AS DOUBLE)")
+    field = F.coalesce(*[F.when(F.col("variable") == name, F.lit(to)) for name, to in SETTERS.items()])
+    refusal = (
+        F.when(field.isNull(), "unknown variable")
+        .when(F.col("variable") == "F", F.when(~F.coalesce(F.col("value").isin(*DETERRENCE), F.lit(False)), "unknown deterrence function"))
+        .when(number.isNull(), "not a number")
+        .when(F.col("variable").isin(*WEIGHTS) & ((number < 0) | F.isnan(number)), "negative or undefined")
+    )
+    return settings.select("variable", "value", field.alias("field"), refusal.alias("refusal"))
+
+
+def from_settings(settings: DataFrame, conf: ModelConf | None = None) -> ModelConf:
+    """``conf``, the default one if none is given, with every setting of a table that names each variable at most once."""
+    rows = checked_settings(settings).limit(len(SETTERS) + 1).collect()  # more rows than variables cannot all be right
+    for row in rows:
+        if row["refusal"]:
+            raise ValueError(f"{row['variable']} = {row['value']}: {row['refusal']}")
+    if len(rows) != len({row["variable"] for row in rows}):
+        raise ValueError("a variable is set more than once")
+    conf = conf or ModelConf()
+    for row in rows:
+        conf = conf.set(row["variable"], row["value"])
+    return conf

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators.network import Network, node_degree
-from tripweave.runtime import checkpoint
+from tripweave.runtime import checkpoint, checkpoint_observed
 from tripweave.sources.tables import unique
 
 
@@ -52,9 +52,9 @@ def chain_ends(links: DataFrame, mandatory: DataFrame) -> DataFrame:
         ways.where("is_inner").join(onward, "end").where("link_id <> end_link")
         .select("link_id", "forward", "end_link", "end_forward", F.lit(1).cast("long").alias("ahead"), "fixed")
     )
-    pointer = checkpoint(ending.unionByName(passing))
-    unfixed = pointer.where("NOT fixed").count()
-    while unfixed:
+    n_open = F.count_if(~F.col("fixed"))
+    pointer, left = checkpoint_observed(ending.unionByName(passing), n_open=n_open)
+    while left["n_open"]:
         jump = pointer.select(
             F.col("link_id").alias("end_link"), F.col("forward").alias("end_forward"),
             F.col("end_link").alias("next_link"), F.col("end_forward").alias("next_forward"),
@@ -64,9 +64,9 @@ def chain_ends(links: DataFrame, mandatory: DataFrame) -> DataFrame:
             "link_id", "forward", F.col("next_link").alias("end_link"), F.col("next_forward").alias("end_forward"),
             (F.col("ahead") + F.col("further")).alias("ahead"), F.col("done").alias("fixed"),
         )
-        pointer = checkpoint(pointer.where("fixed").unionByName(moved))
-        before, unfixed = unfixed, pointer.where("NOT fixed").count()
-        if unfixed == before:
+        before = left["n_open"]
+        pointer, left = checkpoint_observed(pointer.where("fixed").unionByName(moved), n_open=n_open)
+        if left["n_open"] == before:
             break
     return pointer.where("fixed").select("link_id", "forward", "end_link", "ahead").join(ways, ["link_id", "forward"])
 

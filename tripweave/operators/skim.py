@@ -1,13 +1,18 @@
 """Least-cost labels from many origins at once.
 
-A label is a row ``(src, node, dist)``.  Every hop offers each improved label to the neighbours of its
-node and keeps the least offer per ``(src, node)``; the search ends when no label improves.
+A label is a row ``(src, node, dist)``.  Every hop offers improved labels to the neighbours of their
+nodes and keeps the least offer per ``(src, node)``; the search ends when no label improves.
+
+Labels are expanded in bands of distance: a front moves on by ``band`` mean arc costs a hop, and a label beyond it waits, as
+shorter ways to it may still come up.  What is left open tells how far labels are settled: none below the least open
+distance changes any more.  Settled labels farther back than one arc reaches can receive no offer, except along an arc without
+an arc back; unless such an arc ends at their node they stay in the table that wrote them, and later rounds carry and
+rewrite the others only.  Each round's one job also counts what is open.
 
 Two ways to run a hop:
 
 * arcs small enough to broadcast: labels are hash-partitioned by ``src`` once, and a job advances several
-  hops without any shuffle.  Only the wave of labels that still move takes part in the hops; labels at rest
-  meet it once per job.  A source has at most one label per node of that broadcast-sized network, so no
+  hops without any shuffle.  A source has at most one label per node of that broadcast-sized network, so no
   partition can hold an unbounded group;
 * otherwise, or with too few sources to fill the cluster: one hop per job, joined on the node and
   grouped by ``(src, node)`` with map-side partial minima, under adaptive planning (skewed nodes split).
@@ -16,13 +21,15 @@ Two ways to run a hop:
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.conf import ModelConf
 from tripweave.operators.network import Network
-from tripweave.runtime import checkpoint, is_empty, partitions, small, static_plans
+from tripweave.runtime import checkpoint, checkpoint_observed, partitions, small, static_plans
 
 INF = float("inf")
 # Below this many arcs a source's labels fit one task whatever the number of sources.
@@ -46,83 +53,113 @@ def shortest_dist(network: Network, sources: DataFrame, conf: ModelConf, strict_
     ``strict_radius`` drops them.
     """
     spark = sources.sparkSession
-    costs = checkpoint(network.arc_costs(conf.length_coef, conf.time_coef))
+    costs, arc = checkpoint_observed(network.arc_costs(conf.length_coef, conf.time_coef), mean=F.avg("cost"), most=F.max("cost"))
     parts = partitions(spark)
+    costs = with_guards(costs)
     with static_plans(spark):
         origins = checkpoint(sources.select("src").distinct().repartition(parts, "src"))
     # The table that is sent also has a row for each node, and a node has an arc: three rows an arc at most.
     fits = 3 * network.n_arcs <= conf.broadcast_rows
     by_source = fits and (network.n_arcs <= FEW_ARCS or origins.count() >= parts)
-    start = origins.select(
-        "src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(INF).alias("done")
-    )
+    start = origins.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(INF).alias("done"))
+    step = conf.band * arc["mean"] if arc["mean"] else INF
+    reach = arc["most"] or 0.0
     if by_source:
-        state = search_by_source(start, costs, conf)
+        labels = search_by_source(start, costs, conf, step, reach)
     else:
-        state = search_by_hop(start, small(costs, network.n_arcs, conf.broadcast_rows), conf)
-    labels = state.select("src", "node", "dist")
+        labels = search_by_hop(start, small(costs, network.n_arcs, conf.broadcast_rows), conf, step, reach)
     return labels.where(within(conf.search_radius)) if strict_radius else labels
 
 
-def search_by_source(state: DataFrame, costs: DataFrame, conf: ModelConf) -> DataFrame:
-    stay = costs.select(F.explode(F.array("u", "v")).alias("u")).distinct()
-    stay = stay.select("u", F.col("u").alias("v"), F.lit(0.0).alias("cost"))
-    table = checkpoint(costs.select("u", "v", "cost").unionByName(stay))
-    moving = live(conf.search_radius)
+def with_guards(costs: DataFrame) -> DataFrame:
+    """``costs`` with ``guard``: whether some arc without an arc back ends where this one does, so that offers may come there from any distance."""
+    back = costs.select(F.col("v").alias("u"), F.col("u").alias("v")).distinct()
+    ends = costs.join(back, ["u", "v"], "left_anti").select("v").distinct().withColumn("guard", F.lit(True))
+    return checkpoint(costs.join(ends, "v", "left").withColumn("guard", F.coalesce("guard", F.lit(False))))
 
-    def wave_of(start: DataFrame) -> DataFrame:
-        for _ in range(conf.hops_per_round):
-            start = advance(start, table, conf.search_radius)
-        return start
 
-    with static_plans(state.sparkSession):
-        # The first labels all move, so nothing is at rest to merge with.
-        state = checkpoint(wave_of(state))
-        while not is_empty(state.where(moving)):
-            state = checkpoint(keep_least(state.where(~moving).unionByName(wave_of(state.where(moving)))))
-    return state
+def search(state: DataFrame, advance: Callable[[DataFrame, float], DataFrame], hops: int, conf: ModelConf, step: float, reach: float) -> DataFrame:
+    """All labels once ``advance(tail, front)``, which moves the labels of one job on, leaves nothing open; no arc costs more than ``reach``."""
+    moving = live(conf.search_radius)
+    settled, front = [], step
+    while True:
+        state, left = checkpoint_observed(advance(state, front), n_open=F.count_if(moving), low=F.min(F.when(moving, F.col("dist"))))
+        if not left["n_open"]:
+            break
+        front = max(front + hops * step, left["low"] + step)
+        behind = (F.col("dist") < F.lit(left["low"] - reach)) & ~F.col("guard")
+        settled.append(state.where(behind).select("src", "node", "dist"))
+        state = state.where(~behind)
+    parts = [*settled, state.select("src", "node", "dist")]
+    return checkpoint(reduce(DataFrame.unionByName, parts)) if settled else parts[0]
+
+
+def search_by_source(state: DataFrame, costs: DataFrame, conf: ModelConf, step: float = INF, reach: float = INF) -> DataFrame:
+    costs, state = guarded(costs, state)
+    stay = costs.select(F.explode(F.array(F.struct(F.col("u"), F.lit(False).alias("g")), F.struct(F.col("v").alias("u"), F.col("guard").alias("g")))).alias("x"))
+    stay = stay.groupBy("x.u").agg(F.bool_or("x.g").alias("guard"))
+    stay = stay.select("u", F.col("u").alias("v"), F.lit(0.0).alias("cost"), "guard")
+    table = checkpoint(costs.select("u", "v", "cost", "guard").unionByName(stay).withColumnRenamed("guard", "to_guard"))
+
+    def several_hops(tail: DataFrame, front: float) -> DataFrame:
+        tail = tail.withColumn("front", F.lit(front))
+        for i in range(conf.hops_per_round):
+            tail = advance(tail, table, conf.search_radius, F.col("front") + F.lit(i * step if i else 0.0))
+        return tail.drop("front")
 
+    with static_plans(state.sparkSession):
+        return search(state, several_hops, conf.hops_per_round, conf, step, reach)
 
-def advance(state: DataFrame, table: DataFrame, radius: float) -> DataFrame:
-    """One hop of the wave inside each source's partition; ``table`` holds the arcs and a zero-cost arc from each
-    node to itself, so an expanded label is also passed on and a label at rest skips the lookup.
 
-    A label reached and passed on within one wave comes out as expanded at that distance; should a better one
-    be at rest already, the least of both distances stands and nothing is expanded twice."""
-    reached = F.coalesce("v", "node")
+def advance(state: DataFrame, table: DataFrame, radius: float, front: Column) -> DataFrame:
+    """One hop of the labels inside each source's partition; ``table`` holds the arcs and a zero-cost arc from each
+    node to itself, so an expanded label is also passed on and any other label skips the lookup."""
+    moves = live(radius) & (F.col("dist") <= front)
     return (
-        state.join(F.broadcast(table), F.when(live(radius), F.col("node")) == F.col("u"), "left")
+        state.join(F.broadcast(table), F.when(moves, F.col("node")) == F.col("u"), "left")
         .select(
             "src",
-            reached.alias("node"),
+            F.coalesce("v", "node").alias("node"),
             (F.col("dist") + F.coalesce("cost", F.lit(0.0))).alias("dist"),
-            F.when(F.col("v").isNull() & ~live(radius), F.col("done"))
+            F.when(F.col("v").isNull() & ~moves, F.col("done"))
             .when(F.col("v").isNull(), F.col("dist"))  # a node without arcs leads nowhere
             .when(F.col("v") == F.col("node"), F.col("dist"))
             .otherwise(F.lit(INF))
             .alias("done"),
+            F.coalesce("to_guard", "guard").alias("guard"),
+            "front",
         )
-        .transform(keep_least)
+        .groupBy("src", "node").agg(*least(), F.max("front").alias("front"))
     )
 
 
-def keep_least(offers: DataFrame) -> DataFrame:
-    return offers.groupBy("src", "node").agg(F.min("dist").alias("dist"), F.min("done").alias("done"))
+def least() -> list[Column]:
+    return [F.min("dist").alias("dist"), F.min("done").alias("done"), F.bool_or("guard").alias("guard")]
 
 
-def search_by_hop(state: DataFrame, costs: DataFrame, conf: ModelConf) -> DataFrame:
-    open_label = live(conf.search_radius)
-    while True:
+def guarded(costs: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``guard``; where the arcs do not tell, all labels stay in sight, as those of the sources do."""
+    if "guard" not in costs.columns:
+        costs = costs.withColumn("guard", F.lit(True))
+    return costs, state.withColumn("guard", F.lit(True))
+
+
+def search_by_hop(state: DataFrame, costs: DataFrame, conf: ModelConf, step: float = INF, reach: float = INF) -> DataFrame:
+    costs, state = guarded(costs, state)
+    costs = costs.withColumnRenamed("guard", "to_guard")
+
+    def one_hop(tail: DataFrame, front: float) -> DataFrame:
+        moves = live(conf.search_radius) & (F.col("dist") <= F.lit(front))
         offers = (
-            state.where(open_label)
+            tail.where(moves)
             .join(costs, F.col("node") == F.col("u"))
             .select("src", F.col("v").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"),
-                    F.lit(INF).alias("done"))
+                    F.lit(INF).alias("done"), F.col("to_guard").alias("guard"))
         )
-        kept = state.withColumn("done", F.when(open_label, F.col("dist")).otherwise(F.col("done")))
-        state = checkpoint(keep_least(kept.unionByName(offers)))
-        if is_empty(state.where(open_label)):
-            return state
+        kept = tail.withColumn("done", F.when(moves, F.col("dist")).otherwise(F.col("done")))
+        return kept.unionByName(offers).groupBy("src", "node").agg(*least())
+
+    return search(state, one_hop, 1, conf, step, reach)
 
 
 def cost_matrix(labels: DataFrame, origins: DataFrame, destinations: DataFrame, n_zones: int, conf: ModelConf) -> DataFrame:

@@ -1,19 +1,22 @@
 """Shortest-path trees, and walks on them in a logarithmic number of joins.
 
-A tree row ``(src, node, link_id, up)`` says how the best path from ``src`` enters ``node``.  ``lift``
+A tree row ``(src, node, link_id, up, dist)`` says how the best path from ``src`` enters ``node``.  ``lift``
 derives, by doubling, the ancestor 2^k links up for every k; with those tables all paths come out of one
-job of about log2(hops) joins, and so do the sums over subtrees that load trips on links.
+job of about log2(hops) joins.  Sums over subtrees, which load trips on links, need no such tables: descending ``dist`` is
+a topological order, and ``sweep_up`` follows it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.conf import ModelConf
 from tripweave.operators.network import Network
 from tripweave.operators.skim import INF, within
-from tripweave.runtime import checkpoint, is_empty, kept_together, partitions, settle, small
+from tripweave.runtime import checkpoint, checkpoint_observed, is_empty, kept_together, partitions, settle, settle_observed, small, static_plans
 
 
 def shortest_tree(labels: DataFrame, network: Network, conf: ModelConf) -> DataFrame:
@@ -50,7 +53,7 @@ def tight_arcs(labels: DataFrame, costs: DataFrame, n_arcs: int, conf: ModelConf
         .groupBy("src", "node", "dist")
         .agg(F.min("link_id").alias("link_id"), F.min_by("u", "link_id").alias("up"), F.max("own").alias("own"))
         .where("own = 1 AND link_id IS NOT NULL")
-        .select("src", "node", "link_id", "up")
+        .select("src", "node", "link_id", "up", "dist")
     )
 
 
@@ -63,24 +66,25 @@ def tree_with_free_arcs(labels: DataFrame, costs: DataFrame, n_arcs: int, conf:
         labels.where("src = node").select("src", "node", F.lit(0.0).alias("dist"), F.lit(INF).alias("done")),
         "src", "node",
     )
-    while True:
+    left = {"n_open": 1}
+    while left["n_open"]:
         fresh = state.where("dist < done").select("src", F.col("node").alias("u"), "dist")
         further = fresh.join(tight, ["src", "u"]).select(
             "src", "node", (F.col("dist") + 1).alias("dist"), F.lit(INF).alias("done")
         )
-        state = checkpoint(
+        state, left = checkpoint_observed(
             state.withColumn("done", F.col("dist")).unionByName(further)
-            .groupBy("src", "node").agg(F.min("dist").alias("dist"), F.min("done").alias("done"))
+            .groupBy("src", "node").agg(F.min("dist").alias("dist"), F.min("done").alias("done")),
+            n_open=F.count_if(F.col("dist") < F.col("done")),
         )
-        if is_empty(state.where("dist < done")):
-            break
     ranks = state.select("src", "node", F.col("dist").alias("rank"))
     before = ranks.select("src", F.col("node").alias("u"), F.col("rank").alias("rank_u"))
-    return (
+    found = (
         tight.join(before, ["src", "u"]).join(ranks, ["src", "node"])
         .where("rank_u + 1 = rank")
         .groupBy("src", "node").agg(F.min("link_id").alias("link_id"), F.min_by("u", "link_id").alias("up"))
     )
+    return found.join(labels, ["src", "node"]).select("src", "node", "link_id", "up", "dist")
 
 
 def renewed(df: DataFrame) -> DataFrame:
@@ -160,6 +164,63 @@ def sum_up(loads: DataFrame, levels: Levels) -> DataFrame:
         return checkpoint(renewed(loads))
 
 
+def sweep_up(loads: DataFrame, tree: DataFrame, step: float, hops: int) -> DataFrame:
+    """``(src, node, link_id, load)``: the sum of ``loads(src, node, load)`` over the subtree of each node with a load in or below it.
+
+    Every node passes what it has to the node above it.  A front comes down by ``step`` a hop and only loads beyond it move, so
+    most nodes have all of their subtree's load when their turn comes and pass it on once; one that gets more later
+    passes that on too.  Nodes farther out than everything that still waits are done and stay in the table that wrote them.
+    """
+    spark = tree.sparkSession
+    none = F.lit(None).cast("double")
+    rows = tree.join(loads.withColumn("waits", F.lit(True)), ["src", "node"], "left").select(
+        "src", "node", "link_id", "up", "dist", F.col("load").alias("wait"), F.coalesce("waits", F.lit(False)).alias("waits"),
+        none.alias("flow"), F.lit(False).alias("used"),
+    )
+    high = F.max(F.when(F.col("waits"), F.col("dist")))
+    # Few sources spread over the partitions by node, at the price of one shuffle a hop.
+    keys = ["src"] if tree.select("src").distinct().count() >= partitions(spark) else ["src", "node"]
+    rows, left = settle_observed(rows, *keys, high=high)
+    per_job = hops if keys == ["src"] else 1
+    done, front = [], float("inf")
+    while left["high"] is not None:
+        front = min(front, left["high"] - step)
+        with static_plans(spark):
+            moved = rows.where(F.col("dist") <= F.lit(left["high"])).withColumn("front", F.lit(front))
+            for i in range(per_job):
+                moved = pass_up(moved, F.col("front") - F.lit(i * step if i else 0.0))
+            rows, left = checkpoint_observed(moved.drop("front"), high=high)
+        front -= per_job * step
+        finished = F.lit(True) if left["high"] is None else F.col("dist") > F.lit(left["high"])
+        done.append(rows.where(F.col("used") & finished).select("src", "node", "link_id", F.col("flow").alias("load")))
+    if not done:
+        return rows.select("src", "node", "link_id", F.col("flow").alias("load")).limit(0)
+    return reduce(DataFrame.unionByName, done)
+
+
+def pass_up(rows: DataFrame, front: Column) -> DataFrame:
+    """One hop: loads that wait at or beyond the front go to the node above and count as flow on the link between."""
+    goes = F.col("waits") & (F.col("dist") >= front)
+    none = lambda kind: F.lit(None).cast(kind)
+    flow = F.when(goes, F.coalesce(F.col("flow") + F.col("wait"), "flow", "wait")).otherwise(F.col("flow"))
+    here = F.struct(
+        "node", "link_id", "up", "dist", F.when(~goes, F.col("wait")).alias("wait"), (F.col("waits") & ~goes).alias("waits"),
+        flow.alias("flow"), (F.col("used") | goes).alias("used"),
+    )
+    above = F.struct(
+        F.col("up").alias("node"), none("long").alias("link_id"), none("long").alias("up"), none("double").alias("dist"), "wait",
+        F.lit(True).alias("waits"), none("double").alias("flow"), F.lit(False).alias("used"),
+    )
+    return (
+        rows.select("src", F.inline(F.when(goes & (F.col("up") != F.col("src")), F.array(here, above)).otherwise(F.array(here))), "front")
+        .groupBy("src", "node")
+        .agg(
+            *[F.max(c).alias(c) for c in ("link_id", "up", "dist")], F.sum("wait").alias("wait"), F.bool_or("waits").alias("waits"),
+            F.sum("flow").alias("flow"), F.bool_or("used").alias("used"), F.max("front").alias("front"),
+        )
+    )
+
+
 def counted_tree(tree: DataFrame, counted_links: DataFrame, n_counts: int, conf: ModelConf) -> tuple[DataFrame, DataFrame]:
     """Shrink the tree to links that carry a count.
 
@@ -168,19 +229,20 @@ def counted_tree(tree: DataFrame, counted_links: DataFrame, n_counts: int, conf:
     """
     links = counted_links.select("link_id").distinct().withColumn("counted", F.lit(True))
     flagged = tree.join(small(links, n_counts, conf.broadcast_rows), "link_id", "left")
-    pointer = settle(
+    unfixed = {"n_open": F.count_if(~F.col("fixed"))}
+    pointer, left = settle_observed(
         flagged.select(
             "src", "node", F.when(F.col("counted"), F.col("node")).otherwise(F.col("up")).alias("to"),
             F.coalesce(F.col("counted"), F.col("up") == F.col("src")).alias("fixed"),
         ),
-        "src", "node",
+        "src", "node", **unfixed,
     )
-    while not is_empty(pointer.where("NOT fixed")):
+    while left["n_open"]:
         ahead = pointer.select("src", F.col("node").alias("to"), F.col("to").alias("next"), F.col("fixed").alias("done"))
         moved = pointer.where("NOT fixed").join(ahead, ["src", "to"]).select(
             "src", "node", F.col("next").alias("to"), F.col("done").alias("fixed")
         )
-        pointer = settle(pointer.where("fixed").unionByName(moved), "src", "node")
+        pointer, left = settle_observed(pointer.where("fixed").unionByName(moved), "src", "node", **unfixed)
     nearest = pointer.where("to <> src").select("src", "node", "to")
     above = nearest.select("src", F.col("node").alias("up"), "to")
     shrunk = (

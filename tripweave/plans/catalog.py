@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripweave.conf import SETTERS, checked_settings
 from tripweave.functions import formulas
 from tripweave.operators import assignment, calibration, constrained, contraction, demand, fit, network, paths, skim
 from tripweave.plans.driver_network import DriverNetwork, derive_chains, table
@@ -108,6 +109,17 @@ def chain_merge(d: DriverNetwork) -> DataFrame:
     )
 
 
+def conf_set(d: DriverNetwork) -> DataFrame:
+    """Settings taken from the customers, and how many of each the configuration takes or refuses."""
+    turn = F.col("c_custkey") % 8
+    names = F.array(*[F.lit(x) for x in (*SETTERS, "delta")])
+    functions = F.array(*[F.lit(x) for x in (*formulas.DETERRENCE, "linear", "")])
+    name = F.get(names, turn.cast("int"))
+    value = F.when(name == "F", F.get(functions, (F.col("c_nationkey") % 6).cast("int"))).when(F.col("c_nationkey") == 0, "much")
+    settings = d.table("customer").select(name.alias("variable"), F.coalesce(value, F.col("c_acctbal").cast("string")).alias("value"))
+    return checked_settings(settings).groupBy("variable", "field", "refusal").agg(F.count("*").alias("n"))
+
+
 # search
 
 
@@ -502,6 +514,7 @@ def constraint_check_total(d: DriverNetwork) -> DataFrame:
 
 QUERIES: dict[str, Callable[[DriverNetwork], DataFrame]] = {
     "cost_matrix": cost_matrix,
+    "conf_set": conf_set,
     "network_load": network_load,
     "zones_load": zones_load,
     "counts_load": counts_load,

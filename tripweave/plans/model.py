@@ -145,7 +145,7 @@ class Model:
     def assign(self, od: DataFrame, skim_: Skim | None = None) -> DataFrame:
         """Volume per edge when all trips take the shortest path."""
         s = skim_ or self.skim_for(od)
-        return assignment.assign(self.pairs(od), s.tree, s.levels, self.network)
+        return assignment.assign(self.pairs(od), s.tree, self.network, self.conf)
 
     def assign_v1(self, od: DataFrame, origins: DataFrame | None = None) -> DataFrame:
         """The older form: joins written-out paths from ``origins`` to the matrix, so other origins add nothing."""

@@ -332,7 +332,7 @@ def statement(select: str) -> str:
             columns, body = CTES[name]
             recursive = bool(columns)
             parts.append(f"{name}{columns} AS {'' if recursive else 'MATERIALIZED '}(\n  {body}\n)")
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
 def od(name: str, value: str = "trips", digits: int = 6) -> str:
@@ -347,8 +347,20 @@ def path_text(name: str) -> str:
     return f"(SELECT origin, destination, string_agg(edge_id::VARCHAR, ',' ORDER BY seq) path FROM {name} GROUP BY 1, 2)"
 
 
+CONF_SET = """SELECT variable, CASE variable WHEN 'F' THEN 'deterrence' WHEN 'delta' THEN NULL ELSE variable END AS field,
+  CASE WHEN variable = 'delta' THEN 'unknown variable'
+    WHEN variable = 'F' THEN CASE WHEN value NOT IN ('log_normal', 'top_log_normal', 'exponencial', 'kvadratic') THEN 'unknown deterrence function' END
+    WHEN try_cast(value AS DOUBLE) IS NULL THEN 'not a number'
+    WHEN variable IN ('length_coef', 'time_coef') AND try_cast(value AS DOUBLE) < 0 THEN 'negative or undefined' END AS refusal, count(*) AS n
+FROM (
+  SELECT variable, CASE WHEN variable = 'F' THEN ['log_normal', 'top_log_normal', 'exponencial', 'kvadratic', 'linear', ''][c_nationkey % 6 + 1]
+    WHEN c_nationkey = 0 THEN 'much' ELSE c_acctbal::VARCHAR END AS value
+  FROM (SELECT *, ['length_coef', 'time_coef', 'alpha', 'beta', 'gamma', 'F', 'search_radius', 'delta'][c_custkey % 8 + 1] AS variable FROM customer)
+) GROUP BY ALL"""
+
 SELECTS = {
     "cost_matrix": "SELECT origin, destination, cost FROM cost",
+    "conf_set": CONF_SET,
     "network_load": "SELECT edge_id, u, v, length, travel_time FROM arcs",
     "zones_load": "SELECT zone_id, node_id, trips FROM zones",
     "counts_load": "SELECT edge_id, traffic FROM counts",
