@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import saved, table
+from tripweave.llm.common import free_name, saved, table
 from tripweave.llm.decontaminate import decontaminate
 from tripweave.llm.language import held_out
 from tripweave.llm.line_dedup import line_dedup
@@ -17,7 +17,8 @@ from tripweave.llm.shingle_join import one_of_each
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it is fitted on the labels that op6 learns from."""
     model = fit_on(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)), metadata="n_chars")
-    return score(docs, model, metadata="n_chars", name="_score").where(F.col("_score") >= LEAST_SCORE).select(*docs.columns)
+    name = free_name(docs, "_score")
+    return score(docs, model, metadata="n_chars", name=name).where(F.col(name) >= LEAST_SCORE).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    bad = decontaminate(named, table(spark, sf_dir, "benchmark"), doc_id="_row").where("contaminated").select(F.col("doc_id").alias("_row"))
-    return named.join(saved(bad), "_row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    named = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    bad = decontaminate(named, table(spark, sf_dir, "benchmark"), doc_id=row).where("contaminated").select(F.col("doc_id").alias(row))
+    return named.join(saved(bad), row, "left_anti").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -296,3 +296,29 @@ def test_quality(spark):
 
 def test_shared_folder_is_a_place_for_all(spark):
     assert "://" in shared_folder(spark)
+
+
+def test_rows_of_one_id_with_other_texts_lose_what_they_share(spark):
+    from tripweave.llm.line_dedup import line_dedup
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"first\n{long}"), (1, f"second\n{long}"), (2, f"third\n{long}"), (1, f"first\n{long}")]
+    found = sorted((r["doc_id"], r["text"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), long_lines=True).collect())
+    assert sum(long in text for _, text in found) in (1, 2)  # the home, and a row that is the same
+    assert len({text for _, text in found if long in text}) == 1
+
+
+def test_columns_that_are_called_like_inner_ones(spark):
+    from pyspark.sql import functions as F
+
+    from tripweave.llm.line_dedup import line_dedup
+    from tripweave.llm.shingle_join import one_of_each
+
+    names = ("_row", "_chunks", "_ROW_", "key", "row", "hash", "bytes", "home", "node", "component", "n", "number")
+    lines = "\n".join(f"the same line {i}" for i in range(40))
+    rows = [(i, f"own {i}\n{lines}") for i in range(4)] + [(9, None), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for made in (line_dedup(df, long_lines=True).drop("n_lines", "n_removed"), one_of_each(df)):
+        assert made.columns == df.columns
+        got = made.collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)

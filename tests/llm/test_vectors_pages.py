@@ -139,3 +139,40 @@ def test_articles_beside_the_page_do_not(wrapper):
     tag = wrapper[1:].strip(">").split()[0]
     page = f"<body><main>Story</main>{wrapper}<form><article><p>Teaser</article></form></{tag}><form>mail<div>name</div></form></body>"
     assert page_text.main_text(*_cut(page), None) == "Story"
+
+
+@pytest.mark.parametrize("opening", [
+    '<div style="overflow:hidden"><article>', '<article title="The hidden truth">', '<article data-id="comments">', '<div data-hidden="false"><article>',
+    "<div data-note='class=\"sidebar\"'><article>", '<article lang=en data-role="navigation">', '<div aria-label="hidden menu" class="wrap"><article>', "<article data-x=hidden>",
+])
+def test_only_names_of_attributes_are_read(opening):
+    assert (("Kept words", page_text.PROSE) in page_text.page_lines(f"<html><body>{opening}<p>Kept words</p></article></body></html>"))
+
+
+@pytest.mark.parametrize("opening", ["<div hidden>", "<div hidden=''>", '<div data-x="a"hidden>', "<div class='big sidebar'>", '<div id=comments>', '<div ROLE="navigation">', "<div aria-hidden = true>"])
+def test_parts_named_so_are_set_apart(opening):
+    lines = page_text.page_lines(f"<body>{opening}<p>Gone</p></div><p>Stays</p></body>")
+    assert lines == [("Gone", page_text.BESIDE), ("Stays", page_text.PLAIN)]
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=x><link rel=y><title>T</title></head>", "<head><title>T</title><body>", "<title>T</title>"])
+def test_a_head_ends_with_the_first_thing_that_is_not_its(head):
+    lines = page_text.page_lines(f"<html>{head}<article><p>Body words</p></article></html>")
+    assert ("Body words", page_text.PROSE) in lines
+    assert not any("Body" in line and part == page_text.BESIDE for line, part in lines)
+    assert ("Loose words", page_text.PLAIN) in page_text.page_lines("<head><title>T</title>\n Loose words<p>More</p>")
+
+
+def test_many_open_and_stray_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    page_text.page_lines("<div>" * 30_000 + "</span></p></x>" * 30_000)
+    assert time.perf_counter() - start < 3
+
+
+def test_ids_of_any_type(spark):
+    for kind in ("smallint", "tinyint", "decimal(10,0)", "date", "string"):
+        df = spark.sql(f"SELECT CAST({'DATE ' if kind == 'date' else ''}'{'2020-01-01' if kind == 'date' else 7}' AS {kind}) AS page_id, 'http://a/b' AS url, '<article>x</article>' AS html")
+        row = page_text.extract(df).first()
+        assert row["text"] == "x" and page_text.extract(df).schema["page_id"].dataType == df.schema["page_id"].dataType

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripweave.runtime import checkpoint
 
@@ -47,6 +46,14 @@ def saved(df: DataFrame) -> DataFrame:
     return checkpoint(df)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def runs(texts: pa.Array, size: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``texts`` whose bytes add up to about ``size``; a longer text is a range of its own."""
     lengths = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
@@ -156,7 +163,3 @@ def map_runs(
                     yield made
 
     return df.mapInArrow(task, schema)
-
-
-def lower_ascii(column):
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import NONSPACE_BYTES, flat_bytes, map_runs, mix, saved, shingle_hashes, signed, span_hashes
+from tripweave.llm.common import NONSPACE_BYTES, flat_bytes, free_name, map_runs, mix, saved, shingle_hashes, signed, span_hashes
 
 ROLLING_LINES = 2
 DIVISOR = 3  # one in so many places ends a chunk
@@ -113,7 +113,9 @@ def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", lo
     that only rows without an id hold stays in all of them; otherwise such rows lose it. Single lines are no chunks;
     with ``long_lines`` those of 50 words or more go likewise.
     """
-    source = documents.drop("n_lines", "n_removed", "_row").withColumn("_row", F.xxhash64(key, text))
+    source = documents.drop("n_lines", "n_removed")
+    row, chunks = free_name(source, "_row"), free_name(source, "_chunks")
+    source = source.withColumn(row, F.xxhash64(key, text))
     kind = source.schema[key].dataType.simpleString()
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -130,23 +132,25 @@ def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", lo
         rows = pa.array(c.unit_row[at])
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(c.unit_number[at].astype(np.int32)), pa.array(signed(c.unit_hash[at])), pa.array([c.unit(i) for i in at.tolist()], pa.binary())],
-            names=["key", "_row", "number", "hash", "bytes"],
+            names=["key", "row", "number", "hash", "bytes"],
         )
 
-    found = map_runs(source.select(F.col(key).alias("key"), "_row", F.col(text).alias("text")), "text", f"key {kind}, _row long, number int, hash long, bytes binary", repeated)
+    found = map_runs(source.select(F.col(key).alias("key"), F.col(row).alias("row"), F.col(text).alias("text")), "text", f"key {kind}, row long, number int, hash long, bytes binary", repeated)
     found = saved(found)
     # Grouping on the bytes is the comparison; equal chunks meet in one row per task before they move.
-    texts = found.groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("home"))
+    texts = found.groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("home"))
     homes = texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.max("home").alias("home"))
     homes = homes.where("texts = 1 and n > 1").select("hash", "home")  # different chunks of one hash all stay
+    # Of rows with one id and different texts one is the home; rows without an id are all alike.
+    own = F.col("key").eqNullSafe(F.col("home.key")) & (F.col("key").isNull() | (F.col("row") == F.col("home.row")))
     lists = (
-        found.drop("bytes").join(homes, "hash").groupBy("_row")
-        .agg(F.array_sort(F.collect_set(F.struct("number", "hash", F.col("key").eqNullSafe(F.col("home")).alias("own")))).alias("_chunks"))
+        found.drop("bytes").join(homes, "hash").groupBy(F.col("row").alias(row))
+        .agg(F.array_sort(F.collect_set(F.struct("number", "hash", own.alias("own")))).alias(chunks))
     )
 
     def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = batch.schema.names
-        at, chunks_at = names.index(text), names.index("_chunks")
+        at, chunks_at = names.index(text), names.index(chunks)
         c = Chunks(batch.column(at))
         first_chunk = np.searchsorted(c.chunk_first, c.first)
         new, removed = batch.column(at).to_pylist(), np.zeros(batch.num_rows, np.int64)
@@ -163,8 +167,8 @@ def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", lo
             if gone:
                 new[i] = b"\n".join(c.line(k) for k in range(c.first[i], c.first[i + 1]) if k not in gone).decode("utf-8", "replace")
                 removed[i] = len(gone)
-        columns = [pa.array(new, pa.string()) if n == text else col for n, col in zip(names, batch.columns) if n != "_chunks"]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(c.first)), pa.array(removed)], names=[*(n for n in names if n != "_chunks"), "n_lines", "n_removed"])
+        columns = [pa.array(new, pa.string()) if n == text else col for n, col in zip(names, batch.columns) if n != chunks]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(c.first)), pa.array(removed)], names=[*(n for n in names if n != chunks), "n_lines", "n_removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + ", n_lines long, n_removed long"
-    return map_runs(source.join(lists, "_row", "left").select(*source.columns, "_chunks"), text, schema, rewrite).drop("_row")
+    return map_runs(source.join(lists, row, "left").select(*source.columns, chunks), text, schema, rewrite).drop(row)

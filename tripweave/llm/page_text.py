@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tripweave.llm.common import map_runs
 
@@ -40,7 +42,11 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({'|'.join(RAW)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+# One attribute after the other, each with its value, so that nothing inside a value passes for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMED = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
+# Elements that may stand in a head; any other one, or text, ends it.
+IN_HEAD = frozenset("head title meta link base script style noscript template".split())
 PLAIN, PROSE, BESIDE = 0, 1, 2  # a line outside an article, inside one, or in a part that is no text of the page
 CLOSED = 3  # while reading: set apart, and articles inside are too
 COPY_SHARE = 0.95  # of two pages that share more of the shorter one's text, one is a copy and says nothing about the other
@@ -53,8 +59,10 @@ def _part(tag: str, attributes: str, part: int) -> int:
         return CLOSED
     apart = tag in APART and not (part == PROSE and tag in ("header", "figure"))
     shut = tag in SHUT
-    for name, *values in NAMED.findall(attributes) if attributes.strip() else ():
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), "".join(values)
+        if name not in NAMED:
+            continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             shut = True
         elif name == "role":
@@ -73,6 +81,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     """Text blocks of a page in order, white space made plain, with the part of the page they are in."""
     found: list[tuple[str, int]] = []
     open_tags: list[tuple[str, int]] = []  # elements that are open, with the part their text is in
+    opened: Counter[str] = Counter()  # how often each is open
     part, piece = PLAIN, []
 
     def close() -> None:
@@ -81,14 +90,33 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 found.append((line, min(part, BESIDE)))
             piece.clear()
 
+    def pop() -> str:
+        tag = open_tags.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    def outside() -> int:
+        return open_tags[-1][1] if open_tags else PLAIN
+
+    def end_head() -> int:
+        close()
+        while pop() != "head":
+            pass
+        return outside()
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            piece.append(page[at : m.start()])
+            text = page[at : m.start()]
+            if open_tags and open_tags[-1][0] == "head" and not text.isspace():
+                part = end_head()
+            piece.append(text)
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if opened["head"] and not m[2] and tag not in IN_HEAD:
+            part = end_head()
         if tag == "br" or tag == "hr":
             piece.append(" ")
             continue
@@ -96,12 +124,12 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         inline = tag in INLINE
         if m[2]:
-            if any(t == tag for t, _ in open_tags):
+            if opened[tag]:
                 if not inline or part >= BESIDE:
                     close()
-                while open_tags.pop()[0] != tag:
+                while pop() != tag:
                     pass
-                part = open_tags[-1][1] if open_tags else PLAIN
+                part = outside()
             elif not inline:
                 close()
             continue
@@ -110,11 +138,12 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         close()
         if not inline:
             while open_tags and (open_tags[-1][0] == "p" or tag == "li" and open_tags[-1][0] == "li"):
-                open_tags.pop()
-            part = open_tags[-1][1] if open_tags else PLAIN
+                pop()
+            part = outside()
         if not m[4].endswith("/"):
             part = _part(tag, m[4], part)
             open_tags.append((tag, part))
+            opened[tag] += 1
     piece.append(page[at:])
     close()
     return found
@@ -271,7 +300,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         if out:
             yield _rows(out)
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    key_type = to_arrow_type(rows.schema["key"].dataType)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
         kinds = (key_type, pa.string(), pa.string(), pa.int64())

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import NONSPACE_BYTES, Words, flat_bytes, map_runs
+from tripweave.llm.common import NONSPACE_BYTES, Words, flat_bytes, free_name, map_runs
 from tripweave.llm.language import held_out
 
 SAMPLE_ROWS = 12_000  # labelled rows that the model is fitted on: a bounded sample of the smallest hashes
@@ -156,7 +156,7 @@ def score(documents: DataFrame, model: Machine, text: str = "text", metadata: st
     """
     sent = documents.sparkSession.sparkContext.broadcast((model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32)))
     kept = documents.drop(name)
-    bin_name = "_metadata_bin"
+    bin_name = free_name(documents, "_metadata_bin")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index(bin_name)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import NONSPACE_BYTES, Words, map_runs, mix, runs, saved, signed
+from tripweave.llm.common import NONSPACE_BYTES, Words, free_name, map_runs, mix, runs, saved, signed
 from tripweave.llm.components import components
 
 SHINGLE = 5
@@ -308,8 +308,9 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     Rows without words are in no component and all stay.
     """
     found = saved(_with_components(documents, key, text))
-    kept = found.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    named = documents.drop("_row").withColumn("_row", F.xxhash64(key, text))
+    name = free_name(documents, "_row")
+    kept = found.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first")).select(F.col("first.row").alias(name))
+    named = documents.withColumn(name, F.xxhash64(key, text))
     empty = ~F.coalesce(F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    one = named.where(~empty).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    one = named.where(~empty).join(kept, name, "left_semi").dropDuplicates([name])
     return one.unionByName(named.where(empty)).select(*documents.columns)
