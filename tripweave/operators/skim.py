@@ -34,6 +34,8 @@ from tripweave.runtime import checkpoint, checkpoint_observed, partitions, small
 INF = float("inf")
 # Below this many arcs a source's labels fit one task whatever the number of sources.
 FEW_ARCS = 1_000_000
+# Labels for each open one from which on only open labels are carried through the hops of a job.
+FEW = 20
 
 
 def within(radius: float):
@@ -78,15 +80,19 @@ def with_guards(costs: DataFrame) -> DataFrame:
     return checkpoint(costs.join(ends, "v", "left").withColumn("guard", F.coalesce("guard", F.lit(False))))
 
 
-def search(state: DataFrame, advance: Callable[[DataFrame, float], DataFrame], hops: int, conf: ModelConf, step: float, reach: float) -> DataFrame:
-    """All labels once ``advance(tail, front)``, which moves the labels of one job on, leaves nothing open; no arc costs more than ``reach``."""
+def search(state: DataFrame, advance: Callable[[DataFrame, float, bool], DataFrame], hops: int, conf: ModelConf, step: float, reach: float) -> DataFrame:
+    """All labels once ``advance(tail, front, few)``, which moves the labels of one job on, leaves nothing open; no arc costs more than ``reach``.
+
+    ``few`` says that hardly any label is open, so that it does not pay to carry the others through every hop.
+    """
     moving = live(conf.search_radius)
-    settled, front = [], step
+    seen = {"n": F.count(F.lit(1)), "n_open": F.count_if(moving), "low": F.min(F.when(moving, F.col("dist")))}
+    settled, front, few = [], step, False
     while True:
-        state, left = checkpoint_observed(advance(state, front), n_open=F.count_if(moving), low=F.min(F.when(moving, F.col("dist"))))
+        state, left = checkpoint_observed(advance(state, front, few), **seen)
         if not left["n_open"]:
             break
-        front = max(front + hops * step, left["low"] + step)
+        front, few = max(front + hops * step, left["low"] + step), FEW * left["n_open"] < left["n"]
         behind = (F.col("dist") < F.lit(left["low"] - reach)) & ~F.col("guard")
         settled.append(state.where(behind).select("src", "node", "dist"))
         state = state.where(~behind)
@@ -101,36 +107,47 @@ def search_by_source(state: DataFrame, costs: DataFrame, conf: ModelConf, step:
     stay = stay.select("u", F.col("u").alias("v"), F.lit(0.0).alias("cost"), "guard")
     table = checkpoint(costs.select("u", "v", "cost", "guard").unionByName(stay).withColumnRenamed("guard", "to_guard"))
 
-    def several_hops(tail: DataFrame, front: float) -> DataFrame:
-        tail = tail.withColumn("front", F.lit(front))
-        for i in range(conf.hops_per_round):
-            tail = advance(tail, table, conf.search_radius, F.col("front") + F.lit(i * step if i else 0.0))
-        return tail.drop("front")
+    one_hop = HOP.format(within=within_sql(conf.search_radius), step=double(step))
+
+    moving = live(conf.search_radius)
+
+    def several_hops(tail: DataFrame, front: float, few: bool) -> DataFrame:
+        wave = tail.where(moving) if few else tail
+        wave = chained(one_hop, conf.hops_per_round, wave.withColumn("front", F.lit(front)), arcs=table).drop("front")
+        # Labels left out meet the others only now; until then some are offered worse ones.
+        return tail.where(~moving).unionByName(wave).groupBy("src", "node").agg(*least()) if few else wave
 
     with static_plans(state.sparkSession):
         return search(state, several_hops, conf.hops_per_round, conf, step, reach)
 
 
-def advance(state: DataFrame, table: DataFrame, radius: float, front: Column) -> DataFrame:
-    """One hop of the labels inside each source's partition; ``table`` holds the arcs and a zero-cost arc from each
-    node to itself, so an expanded label is also passed on and any other label skips the lookup."""
-    moves = live(radius) & (F.col("dist") <= front)
-    return (
-        state.join(F.broadcast(table), F.when(moves, F.col("node")) == F.col("u"), "left")
-        .select(
-            "src",
-            F.coalesce("v", "node").alias("node"),
-            (F.col("dist") + F.coalesce("cost", F.lit(0.0))).alias("dist"),
-            F.when(F.col("v").isNull() & ~moves, F.col("done"))
-            .when(F.col("v").isNull(), F.col("dist"))  # a node without arcs leads nowhere
-            .when(F.col("v") == F.col("node"), F.col("dist"))
-            .otherwise(F.lit(INF))
-            .alias("done"),
-            F.coalesce("to_guard", "guard").alias("guard"),
-            "front",
-        )
-        .groupBy("src", "node").agg(*least(), F.max("front").alias("front"))
-    )
+# One hop of the labels inside each source's partition. ``arcs`` also has a zero-cost arc from each node to itself, so an
+# expanded label is passed on too, and any other label skips the lookup; a node without arcs leads nowhere. The front is a column
+# that moves on with every hop: all hops read alike, and their compiled code is shared.
+HOP = """
+SELECT src, node, min(dist) AS dist, min(done) AS done, bool_or(guard) AS guard, max(front) + {step} AS front FROM (
+  SELECT /*+ BROADCAST(a) */ src, coalesce(v, node) AS node, dist + coalesce(cost, 0D) AS dist,
+    CASE WHEN v = node THEN dist WHEN v IS NOT NULL THEN double('infinity') WHEN moves THEN dist ELSE done END AS done,
+    coalesce(to_guard, guard) AS guard, front
+  FROM (SELECT *, dist < done AND dist <= front{within} AS moves FROM {{rows}})
+  LEFT JOIN {{arcs}} AS a ON CASE WHEN moves THEN node END = u
+) GROUP BY src, node"""
+
+
+def double(x: float) -> str:
+    return f"double('{x!r}')"
+
+
+def within_sql(radius: float) -> str:
+    return "" if math.isinf(radius) else f" AND dist <= {double(radius)}"
+
+
+def chained(query: str, times: int, rows: DataFrame, **tables: DataFrame) -> DataFrame:
+    """``query`` over ``rows``, over its own result, and so on; as one statement, which is analysed once."""
+    text = "{rows}"
+    for _ in range(times):
+        text = "(" + query.replace("{rows}", text) + ")"
+    return rows.sparkSession.sql(f"SELECT * FROM {text}", rows=rows, **tables)
 
 
 def least() -> list[Column]:
@@ -148,7 +165,7 @@ def search_by_hop(state: DataFrame, costs: DataFrame, conf: ModelConf, step: flo
     costs, state = guarded(costs, state)
     costs = costs.withColumnRenamed("guard", "to_guard")
 
-    def one_hop(tail: DataFrame, front: float) -> DataFrame:
+    def one_hop(tail: DataFrame, front: float, few: bool) -> DataFrame:
         moves = live(conf.search_radius) & (F.col("dist") <= F.lit(front))
         offers = (
             tail.where(moves)

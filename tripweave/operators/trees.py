@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.conf import ModelConf
 from tripweave.operators.network import Network
-from tripweave.operators.skim import INF, within
+from tripweave.operators.skim import INF, chained, double, within
 from tripweave.runtime import checkpoint, checkpoint_observed, is_empty, kept_together, partitions, settle, settle_observed, small, static_plans
 
 
@@ -187,9 +187,8 @@ def sweep_up(loads: DataFrame, tree: DataFrame, step: float, hops: int) -> DataF
         front = min(front, left["high"] - step)
         with static_plans(spark):
             moved = rows.where(F.col("dist") <= F.lit(left["high"])).withColumn("front", F.lit(front))
-            for i in range(per_job):
-                moved = pass_up(moved, F.col("front") - F.lit(i * step if i else 0.0))
-            rows, left = checkpoint_observed(moved.drop("front"), high=high)
+            moved = chained(PASS_UP.format(step=double(step)), per_job, moved).drop("front")
+            rows, left = checkpoint_observed(moved, high=high)
         front -= per_job * step
         finished = F.lit(True) if left["high"] is None else F.col("dist") > F.lit(left["high"])
         done.append(rows.where(F.col("used") & finished).select("src", "node", "link_id", F.col("flow").alias("load")))
@@ -198,27 +197,21 @@ def sweep_up(loads: DataFrame, tree: DataFrame, step: float, hops: int) -> DataF
     return reduce(DataFrame.unionByName, done)
 
 
-def pass_up(rows: DataFrame, front: Column) -> DataFrame:
-    """One hop: loads that wait at or beyond the front go to the node above and count as flow on the link between."""
-    goes = F.col("waits") & (F.col("dist") >= front)
-    none = lambda kind: F.lit(None).cast(kind)
-    flow = F.when(goes, F.coalesce(F.col("flow") + F.col("wait"), "flow", "wait")).otherwise(F.col("flow"))
-    here = F.struct(
-        "node", "link_id", "up", "dist", F.when(~goes, F.col("wait")).alias("wait"), (F.col("waits") & ~goes).alias("waits"),
-        flow.alias("flow"), (F.col("used") | goes).alias("used"),
-    )
-    above = F.struct(
-        F.col("up").alias("node"), none("long").alias("link_id"), none("long").alias("up"), none("double").alias("dist"), "wait",
-        F.lit(True).alias("waits"), none("double").alias("flow"), F.lit(False).alias("used"),
-    )
-    return (
-        rows.select("src", F.inline(F.when(goes & (F.col("up") != F.col("src")), F.array(here, above)).otherwise(F.array(here))), "front")
-        .groupBy("src", "node")
-        .agg(
-            *[F.max(c).alias(c) for c in ("link_id", "up", "dist")], F.sum("wait").alias("wait"), F.bool_or("waits").alias("waits"),
-            F.sum("flow").alias("flow"), F.bool_or("used").alias("used"), F.max("front").alias("front"),
-        )
-    )
+# One hop: loads that wait at or beyond the front go to the node above and count as flow on the link between.
+PASS_UP = """
+SELECT src, node, max(link_id) AS link_id, max(up) AS up, max(dist) AS dist, sum(wait) AS wait, bool_or(waits) AS waits,
+  sum(flow) AS flow, bool_or(used) AS used, max(front) - {step} AS front
+FROM (
+  SELECT src, front, inline(CASE WHEN goes AND up <> src THEN array(here, above) ELSE array(here) END)
+  FROM (
+    SELECT src, front, goes, up,
+      named_struct('node', node, 'link_id', link_id, 'up', up, 'dist', dist, 'wait', CASE WHEN NOT goes THEN wait END, 'waits', waits AND NOT goes,
+        'flow', CASE WHEN goes THEN coalesce(flow + wait, flow, wait) ELSE flow END, 'used', used OR goes) AS here,
+      named_struct('node', up, 'link_id', CAST(NULL AS BIGINT), 'up', CAST(NULL AS BIGINT), 'dist', CAST(NULL AS DOUBLE), 'wait', wait, 'waits', true,
+        'flow', CAST(NULL AS DOUBLE), 'used', false) AS above
+    FROM (SELECT *, waits AND dist >= front AS goes FROM {{rows}})
+  )
+) GROUP BY src, node"""
 
 
 def counted_tree(tree: DataFrame, counted_links: DataFrame, n_counts: int, conf: ModelConf) -> tuple[DataFrame, DataFrame]:
