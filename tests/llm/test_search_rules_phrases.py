@@ -193,3 +193,23 @@ def test_treap_holds_every_cell():
         treap = search.Treap.build(order[row], column, values, height)
         search.search_block(treap, np.arange(columns), names, queries, best)
         assert sorted(zip(best.query.tolist(), best.id.tolist(), best.score.tolist())) == sorted(zip(row.tolist(), column.tolist(), values.tolist()))
+
+
+def test_frequent_pairs_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "PAIRS_HELD", 4)
+    rng = random.Random(4)
+    texts = [prose(rng, 60) for _ in range(30)]
+    df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(3)
+    words = sorted({w for t in texts for w in plain.IN_PIECE.findall(plain.lower(plain.PIECE_END.sub(" ", t)))})
+    frequent = spark.createDataFrame([("en", w, 1) for w in words], "lang string, word string, n long")
+    dictionary = spark.sparkContext.broadcast(phrases._dictionary(frequent, 1 << 20))
+    cells = {r["cell"] for r in phrases.frequent_cells(df, dictionary, 9).collect()}
+    number = {r["word"]: r["number"] for r in phrases._numbered(frequent, dictionary).collect()}
+    counts: dict[tuple, int] = {}
+    for t in texts:
+        for piece in plain.PIECE_END.split(plain.lower(t)):
+            found = plain.IN_PIECE.findall(piece)
+            for pair in zip(found, found[1:]):
+                counts[pair] = counts.get(pair, 0) + 1
+    cell = lambda a, b: int(phrases.Pairs.cells(np.array([number[a]]), np.array([number[b]]))[0])
+    assert cells == {cell(*pair) for pair, n in counts.items() if n >= 9} and cells

@@ -12,7 +12,7 @@ rare pair it takes for a frequent one only makes a window longer than need be.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,9 @@ NO_LANG = "und"
 DICTIONARY_ROWS = 1 << 21  # words with a number of their own: 8 bytes each in every task
 PAIR_BITS = 1 << 23  # at most, of the bitmap of frequent pairs; it has CELLS_A_PAIR bits for each as long as they fit
 CELLS_A_PAIR = 16
+PART_BITS = 22  # of the 32-bit hashes of pairs: the cells a task counts at a time
+PAIRS_HELD = 4_000_000  # different pairs a task holds before it sends them
+MOST_COUNTED = (1 << 32) - 1
 RUN_BYTES = 2 << 20
 SALTS = 64
 LANGS = 100_000  # broadcast bound of the table of languages
@@ -115,19 +118,77 @@ class Pairs:
         return np.ones(len(one), bool) if self.bits is None else self.bits[self.cells(one, two) & (len(self.bits) - 1)]
 
 
-def _pair_bitmap(texts: DataFrame, dictionary, least: int, limit: int = PAIR_BITS) -> Pairs:
-    """The bitmap of the pairs with ``least`` occurrences. Pairs are counted by their hash: a count may be too high, never too low.
+def _packed(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted cells and their counts as one compressed block for each part of the cells: steps between cells, then counts."""
+    import zstandard
 
-    Only the bitmap's cells come to the driver, ``limit`` at most.
+    press = zstandard.ZstdCompressor(level=1)
+    parts, first = np.unique(cells >> PART_BITS, return_index=True)
+    ends = [*first[1:].tolist(), len(cells)]
+    blocks = []
+    for a, b in zip(first.tolist(), ends):
+        steps = np.diff(cells[a:b] & ((1 << PART_BITS) - 1), prepend=0).astype(np.uint32)
+        blocks.append(press.compress(np.concatenate([steps, np.minimum(counts[a:b], MOST_COUNTED).astype(np.uint32)]).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+
+def frequent_cells(texts: DataFrame, dictionary, least: int) -> DataFrame:
+    """``cell``: hashes of pairs that occur ``least`` times or more. Pairs are counted by hash: a count may be too high, never too low.
+
+    Tasks send compressed blocks by parts of the hashes, so a pair costs two or three bytes; a part is a table of fixed size.
     """
+    small_batches(texts.sparkSession)
 
-    def count(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
-        rows = lead_windows(part.column(0), part.column(1), dictionary.value, Pairs(), 2)
-        rows = rows[rows[:, 1] != PAD]
-        cells, counts = np.unique(Pairs.cells(rows[:, 0], rows[:, 1]), return_counts=True)
-        return [cells], counts
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        cells, counts = (np.concatenate(p) for p in zip(*held))
+        order = np.argsort(cells, kind="stable")
+        cells, counts = cells[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        return cells[first], np.add.reduceat(counts, first)
 
-    cells = saved(_counted_runs(texts, ["cell"], count).groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("cell"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for start, stop in runs(batch.column(1), RUN_BYTES):
+                part = batch.slice(start, stop - start)
+                rows = lead_windows(part.column(0), part.column(1), dictionary.value, Pairs(), 2)
+                rows = rows[rows[:, 1] != PAD]
+                if len(rows):
+                    held.append(np.unique(Pairs.cells(rows[:, 0], rows[:, 1]), return_counts=True))
+                if sum(len(c) for c, _ in held) > PAIRS_HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > PAIRS_HELD // 2:
+                        yield _packed(*held.pop())
+        if held:
+            yield _packed(*merged(held))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
+        now, table = None, np.zeros(1 << PART_BITS, np.int64)
+
+        def ready() -> pa.RecordBatch:
+            found = np.flatnonzero(table >= least) + (now << PART_BITS)
+            table.fill(0)
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["cell"])
+
+        for batch in batches:  # blocks of a part follow each other
+            for part, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is not None and part != now:
+                    yield ready()
+                now = part
+                steps, counts = np.frombuffer(unpress.decompress(block), np.uint32).reshape(2, -1)
+                table[np.cumsum(steps, dtype=np.int64)] += counts
+        if now is not None:
+            yield ready()
+
+    blocks = texts.select("lang", "text").mapInArrow(count, "part int, block binary")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(add, "cell long")
+
+
+def _pair_bitmap(cells: DataFrame, limit: int = PAIR_BITS) -> Pairs:
+    """The bitmap of frequent pairs; only its cells come to the driver, ``limit`` at most."""
     size = 1 << 10
     wanted = CELLS_A_PAIR * cells.count()
     while size < min(wanted, limit):
@@ -173,35 +234,27 @@ def count_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.concatenate([first, [len(rows)]]))
 
 
-def _counted_runs(texts: DataFrame, names: list[str], count: Callable[[pa.RecordBatch], tuple[list[np.ndarray], np.ndarray]]) -> DataFrame:
-    """Columns ``names`` and ``n`` of what ``count`` finds in each run of ``texts(lang, text)``."""
+def _windows(texts: DataFrame, dictionary, pairs, longest: int) -> DataFrame:
+    """``w1`` and on, and ``n``: the padded windows of ``longest`` words, counted within each run of ``texts(lang, text)``."""
+    names = [f"w{k + 1}" for k in range(longest)]
     small_batches(texts.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in runs(batch.column(1), RUN_BYTES):
-                columns, counts = count(batch.slice(start, stop - start))
-                if len(counts):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts.astype(np.int64))], names=[*names, "n"])
+                part = batch.slice(start, stop - start)
+                rows, counts = count_rows(lead_windows(part.column(0), part.column(1), dictionary.value, pairs.value, longest))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(longest)), pa.array(counts.astype(np.int64))], names=[*names, "n"])
 
     return texts.select("lang", "text").mapInArrow(work, ", ".join(f"{c} long" for c in [*names, "n"]))
 
 
-def _windows(texts: DataFrame, dictionary, pairs, longest: int) -> DataFrame:
-    """``w1`` and on, and ``n``: the padded windows of ``longest`` words, counted within each run of texts."""
-
-    def count(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
-        rows, counts = count_rows(lead_windows(part.column(0), part.column(1), dictionary.value, pairs.value, longest))
-        return [np.ascontiguousarray(rows[:, k]) for k in range(longest)], counts
-
-    return _counted_runs(texts, [f"w{k + 1}" for k in range(longest)], count)
-
-
 def phrase_counts(texts: DataFrame, frequent: DataFrame, least: int = LEAST, longest: int = LONGEST, dictionary_rows: int = DICTIONARY_ROWS) -> DataFrame:
     """``lang, words, a`` of every phrase of up to ``longest`` words with ``least`` occurrences; ``texts`` is ``lang, text``."""
     send = texts.sparkSession.sparkContext.broadcast
     dictionary = send(_dictionary(frequent, dictionary_rows))
-    pairs = send(_pair_bitmap(texts, dictionary, least))
+    pairs = send(_pair_bitmap(saved(frequent_cells(texts, dictionary, least))))
     names = [f"w{k + 1}" for k in range(longest)]
     windows = _windows(texts, dictionary, pairs, longest).groupBy(*names).agg(F.sum("n").alias("n"))
     sums = windows.rollup(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
