@@ -31,13 +31,12 @@ _ONES = np.array([bin(b).count("1") for b in range(16)], np.int64)
 _NO_ID = np.iinfo(np.int64).max  # stands for a null id, which sorts last
 
 
-def postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms of a run of texts (sorted hashes), the cells (row, column, tf) by row, and each text's length."""
-    words = Words(texts, ALNUM_BYTES)
-    terms, row = np.unique(words.hashes, return_inverse=True)
-    column = np.repeat(np.arange(len(texts)), words.counts)
-    cells, tf = np.unique(row.astype(np.int64) * max(len(texts), 1) + column, return_counts=True)
-    return terms, cells // max(len(texts), 1), cells % max(len(texts), 1), tf, words.counts
+def postings(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted terms of a block of texts, and the cells (row, column, tf) by row; ``hashes`` are all words, ``sizes`` how many each text has."""
+    terms, row = np.unique(hashes, return_inverse=True)
+    column = np.repeat(np.arange(len(sizes)), sizes)
+    cells, tf = np.unique(row.astype(np.int64) * max(len(sizes), 1) + column, return_counts=True)
+    return terms, cells // max(len(sizes), 1), cells % max(len(sizes), 1), tf
 
 
 POSTINGS = "ids binary, sizes binary, terms binary, df binary, columns binary, tf binary, n_docs long, n_terms long"
@@ -47,11 +46,10 @@ def posting_blocks(documents: DataFrame, doc_id: str, text: str, size: int = BLO
     """One row per block of documents: their ids and lengths, the terms with their document counts, and the cells by term."""
     small_batches(documents.sparkSession)
 
-    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        terms, rows, columns, tf, sizes = postings(batch.column(1))
-        ids = np.asarray(batch.column(0).fill_null(_NO_ID), dtype=np.int64)
-        data = [ids, sizes.astype(np.int64), terms, np.bincount(rows, minlength=len(terms)).astype(np.int32), columns.astype(np.int32), tf.astype(np.int32)]
+    def block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, sizes, hashes = (np.concatenate(p) for p in zip(*held))
+        terms, rows, columns, tf = postings(hashes, sizes)
+        data = [ids, sizes, terms, np.bincount(rows, minlength=len(terms)).astype(np.int32), columns.astype(np.int32), tf.astype(np.int32)]
         return pa.RecordBatch.from_arrays(
             [*(pa.array([d.tobytes()], pa.binary()) for d in data), pa.array([int((sizes > 0).sum())], pa.int64()), pa.array([int(sizes.sum())], pa.int64())],
             names=["ids", "sizes", "terms", "df", "columns", "tf", "n_docs", "n_terms"],
@@ -60,10 +58,12 @@ def posting_blocks(documents: DataFrame, doc_id: str, text: str, size: int = BLO
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bytes_held = [], 0
         for batch in batches:
-            for start, stop in runs(batch.column(1), size):
+            for start, stop in runs(batch.column(1)):
                 part = batch.slice(start, stop - start)
-                held.append(part)
-                bytes_held += part.column(1).nbytes
+                words = Words(part.column(1), ALNUM_BYTES)
+                ids = np.asarray(part.column(0).fill_null(_NO_ID), dtype=np.int64)
+                held.append((ids, words.counts.astype(np.int64), words.hashes))
+                bytes_held += len(words.data)
                 if bytes_held >= size:
                     yield block(held)
                     held, bytes_held = [], 0
