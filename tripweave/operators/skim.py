@@ -34,8 +34,6 @@ from tripweave.runtime import checkpoint, checkpoint_observed, partitions, small
 INF = float("inf")
 # Below this many arcs a source's labels fit one task whatever the number of sources.
 FEW_ARCS = 1_000_000
-# Labels for each open one from which on only open labels are carried through the hops of a job.
-FEW = 20
 
 
 def within(radius: float):
@@ -80,19 +78,20 @@ def with_guards(costs: DataFrame) -> DataFrame:
     return checkpoint(costs.join(ends, "v", "left").withColumn("guard", F.coalesce("guard", F.lit(False))))
 
 
-def search(state: DataFrame, advance: Callable[[DataFrame, float, bool], DataFrame], hops: int, conf: ModelConf, step: float, reach: float) -> DataFrame:
-    """All labels once ``advance(tail, front, few)``, which moves the labels of one job on, leaves nothing open; no arc costs more than ``reach``.
+def search(state: DataFrame, advance: Callable[[DataFrame, float], DataFrame], hops: int, conf: ModelConf, step: float, reach: float) -> DataFrame:
+    """All labels once ``advance(tail, front)``, which moves the labels of one job on, leaves nothing open; no arc costs more than ``reach``.
 
-    ``few`` says that hardly any label is open, so that it does not pay to carry the others through every hop.
+    A settled label has been expanded, so whatever its arcs reach and come back from lies less than ``reach`` beyond it, and
+    what is expanded later lies farther out.  This holds as long as every hop knows the whole tail.
     """
     moving = live(conf.search_radius)
-    seen = {"n": F.count(F.lit(1)), "n_open": F.count_if(moving), "low": F.min(F.when(moving, F.col("dist")))}
-    settled, front, few = [], step, False
+    seen = {"n_open": F.count_if(moving), "low": F.min(F.when(moving, F.col("dist")))}
+    settled, front = [], step
     while True:
-        state, left = checkpoint_observed(advance(state, front, few), **seen)
+        state, left = checkpoint_observed(advance(state, front), **seen)
         if not left["n_open"]:
             break
-        front, few = max(front + hops * step, left["low"] + step), FEW * left["n_open"] < left["n"]
+        front = max(front + hops * step, left["low"] + step)
         behind = (F.col("dist") < F.lit(left["low"] - reach)) & ~F.col("guard")
         settled.append(state.where(behind).select("src", "node", "dist"))
         state = state.where(~behind)
@@ -109,13 +108,9 @@ def search_by_source(state: DataFrame, costs: DataFrame, conf: ModelConf, step:
 
     one_hop = HOP.format(within=within_sql(conf.search_radius), step=double(step))
 
-    moving = live(conf.search_radius)
 
-    def several_hops(tail: DataFrame, front: float, few: bool) -> DataFrame:
-        wave = tail.where(moving) if few else tail
-        wave = chained(one_hop, conf.hops_per_round, wave.withColumn("front", F.lit(front)), arcs=table).drop("front")
-        # Labels left out meet the others only now; until then some are offered worse ones.
-        return tail.where(~moving).unionByName(wave).groupBy("src", "node").agg(*least()) if few else wave
+    def several_hops(tail: DataFrame, front: float) -> DataFrame:
+        return chained(one_hop, conf.hops_per_round, tail.withColumn("front", F.lit(front)), arcs=table).drop("front")
 
     with static_plans(state.sparkSession):
         return search(state, several_hops, conf.hops_per_round, conf, step, reach)
@@ -165,7 +160,7 @@ def search_by_hop(state: DataFrame, costs: DataFrame, conf: ModelConf, step: flo
     costs, state = guarded(costs, state)
     costs = costs.withColumnRenamed("guard", "to_guard")
 
-    def one_hop(tail: DataFrame, front: float, few: bool) -> DataFrame:
+    def one_hop(tail: DataFrame, front: float) -> DataFrame:
         moves = live(conf.search_radius) & (F.col("dist") <= F.lit(front))
         offers = (
             tail.where(moves)
