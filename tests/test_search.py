@@ -264,6 +264,7 @@ def test_sweep_sums_subtrees(network, sources, some, step):
 def test_assignment_builds_no_levels(spark, network, monkeypatch):
     model = Model(network, zones_at(spark, SOURCES), ModelConf(time_coef=0.0))
     od = model.cost_matrix().withColumnRenamed("cost", "trips")
-    volumes = {r.edge_id: r.volume for r in model.assign(od).collect()}
+    volumes = {r.edge_id: r.volume for r in model.assign(od, sweep=True).collect()}
     assert "levels" not in model.skim.__dict__
+    assert volumes == pytest.approx({r.edge_id: r.volume for r in model.assign(od).collect()})
     assert volumes == pytest.approx({r.edge_id: r.volume for r in model.assign_v1(od).collect()})

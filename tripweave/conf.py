@@ -47,7 +47,7 @@ class ModelConf:
     search_radius: float = math.inf
     broadcast_rows: int = 8_000_000
     hops_per_round: int = 8
-    band: float = 1.0
+    band: float = 1.25
 
     def set(self, variable: str, value) -> ModelConf:
         """Return a copy with one parameter changed; unknown names raise."""

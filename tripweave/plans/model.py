@@ -142,10 +142,14 @@ class Model:
         """``od`` with the path of each pair; a pair out of reach keeps its trips and an empty path."""
         return paths.collect_paths(od, self.path_links(od, skim_))
 
-    def assign(self, od: DataFrame, skim_: Skim | None = None) -> DataFrame:
-        """Volume per edge when all trips take the shortest path."""
+    def assign(self, od: DataFrame, skim_: Skim | None = None, sweep: bool = False) -> DataFrame:
+        """Volume per edge when all trips take the shortest path.
+
+        ``sweep`` sums trips up by distance, in more rounds but without the ancestor tables, which take about as much disk
+        as three times the trees; walks on paths share these tables.
+        """
         s = skim_ or self.skim_for(od)
-        return assignment.assign(self.pairs(od), s.tree, self.network, self.conf)
+        return assignment.assign(self.pairs(od), s.tree, self.network, self.conf, None if sweep else s.levels)
 
     def assign_v1(self, od: DataFrame, origins: DataFrame | None = None) -> DataFrame:
         """The older form: joins written-out paths from ``origins`` to the matrix, so other origins add nothing."""
