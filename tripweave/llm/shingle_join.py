@@ -1,11 +1,11 @@
 """Jaccard join of shingle sets with skips that rest on relations between sets.
 
 Equal sets are one class. Classes order their shingles by one global order, rare ones first, and only the prefix that any set of
-enough overlap must share goes into index lists. Lists are read in blocks of similar set size, and a block or entry
-whose position leaves too few shingles behind it is skipped. Answers are derived from those of similar sets: a class is first
-compared with one class of its lists (the head); classes that are connected already are not compared again; and for two classes with
-known distances to the same head, the triangle inequality of the Jaccard distance rules out most others. What is left is
-compared exactly, on the texts themselves. The global order only steers cost: any order gives the same links.
+enough overlap must share goes into index lists. Answers are derived from those of similar sets: a class is first compared with one class of its
+lists (the head), and classes that are connected by then are not compared again. The lists are read in blocks of similar set size, and a block or
+entry whose position leaves too few shingles behind it is skipped. In the blocks left, a set's overlap with all others comes from the lists of
+the shingles that tell it from the set before it, and only links that join two components are written. All is exact, on the
+texts themselves. The global order only steers cost: any order gives the same links.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ ORDER_PARTS = 64
 SKETCH_BITS = 512  # of the bit set that bounds the overlap of two sets
 NEEDED_BITS = 23
 GROUP = 2000  # compared with one copy of a head's text
+PART_SETS, PART_SHINGLES = 2000, 1_000_000  # of a part, two of which a task holds at a time; a larger set is a part of its own
+SALTS = 16
 
 
 class Sets:
@@ -61,6 +63,8 @@ class Sets:
 
 def _order_table(documents: DataFrame, text: str) -> np.ndarray:
     """How many texts (equal ones of a task once) have a shingle of each cell, over all documents."""
+    import zstandard
+
     cells, width = 1 << ORDER_BITS, (1 << ORDER_BITS) // ORDER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,18 +81,24 @@ def _order_table(documents: DataFrame, text: str) -> np.ndarray:
         yield _parts(table)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                one = np.frombuffer(data, np.uint16).astype(np.uint32)
+                one = np.frombuffer(unpress.decompress(data), np.uint16).astype(np.uint32)
                 sums[part] = sums[part] + one if part in sums else one
         for part, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()])], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([press.compress(np.minimum(total, 65535).astype(np.uint16).tobytes())])], names=["part", "counts"])
 
     def _parts(table: np.ndarray) -> pa.RecordBatch:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
         small = np.minimum(table, 65535).astype(np.uint16)
         return pa.RecordBatch.from_arrays(
-            [pa.array(range(ORDER_PARTS), pa.int32()), pa.array([small[i * width : (i + 1) * width].tobytes() for i in range(ORDER_PARTS)])], names=["part", "counts"]
+            [pa.array(range(ORDER_PARTS), pa.int32()), pa.array([press.compress(small[i * width : (i + 1) * width].tobytes()) for i in range(ORDER_PARTS)])], names=["part", "counts"]
         )
 
     kind = "part int, counts binary"
@@ -96,7 +106,7 @@ def _order_table(documents: DataFrame, text: str) -> np.ndarray:
     once = counted.repartition("part", "salt").select("part", "counts").mapInArrow(add, kind)
     whole = np.zeros(cells, np.uint16)
     for part, data in once.repartition("part").mapInArrow(add, kind).collect():  # ORDER_PARTS rows, 2 bytes a cell
-        whole[part * width : (part + 1) * width] = np.frombuffer(data, np.uint16)
+        whole[part * width : (part + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint16)
     return whole
 
 
@@ -212,49 +222,143 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, key: s
     return saved(dealt.select("node", "b", "place", "data").mapInArrow(compare, "a long, b long, common long, n_a long, n_b long"))
 
 
-def _checked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, key: str, text: str, known: DataFrame | None) -> DataFrame:
-    """``known`` with the answers of the pairs it does not hold yet."""
-    if known is not None:
-        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    answers = _verified(saved(pairs), classes, documents, key, text)
-    return answers if known is None else saved(known.unionByName(answers))
+def _links(answers: DataFrame) -> DataFrame:
+    return answers.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
 
+class Answers:
+    """Links among the sets of one block pair, as far as they join two components.
+
+    The answer of a set, its overlap with every set of the other side, is derived from the answer before it: shingles that only
+    one of the two sets has are looked up in the lists, those of both are not. Sets are taken in an order that puts similar ones next to each other.
+    """
 
-def _labels(known: DataFrame) -> DataFrame:
-    return components(known.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    def __init__(self, texts: pa.Array, labels: np.ndarray) -> None:
+        sets = Sets(texts)
+        self.sizes, self.first, self.of = sets.counts, sets.first, sets.of
+        self.shingles = np.unique(sets.hashes, return_inverse=True)[1]
+        self.labels = np.unique(labels, return_inverse=True)[1]
+        self.looked_up = 0  # list entries read
+
+    def _lists(self, rights: np.ndarray) -> None:
+        place = np.full(len(self.sizes), -1)
+        place[rights] = np.arange(len(rights))
+        inside = place[self.of] >= 0
+        shingles = self.shingles[inside]
+        order = np.argsort(shingles, kind="stable")
+        self.entries = place[self.of[inside]][order]
+        self.starts = np.searchsorted(shingles[order], np.arange(int(self.shingles.max(initial=-1)) + 2))
+        self.width = len(rights)
+
+    def _read(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of ``shingles`` each set of the lists has."""
+        start, length = self.starts[shingles], self.starts[shingles + 1] - self.starts[shingles]
+        ends = np.cumsum(length)
+        at = np.repeat(start - ends + length, length) + np.arange(int(length.sum()))
+        self.looked_up += len(at)
+        return np.bincount(self.entries[at], minlength=self.width)
+
+    def joining(self, lefts: np.ndarray, rights: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links between ``lefts`` and ``rights`` that join two components, by place."""
+        if not len(lefts) or not len(rights):
+            return
+        self._lists(rights)
+        least = np.array([self.shingles[self.first[i] : self.first[i + 1]].min(initial=0) for i in lefts.tolist()])
+        before, row = np.zeros(0, np.int64), np.zeros(self.width, np.int64)
+        for left in lefts[np.lexsort((self.sizes[lefts], least))].tolist():
+            if not (self.labels[rights] != self.labels[left]).any():
+                continue
+            own = np.sort(self.shingles[self.first[left] : self.first[left + 1]])
+            gone, come = np.setdiff1d(before, own, assume_unique=True), np.setdiff1d(own, before, assume_unique=True)
+            row = row - self._read(gone) + self._read(come) if len(gone) + len(come) < len(own) else self._read(own)
+            before = own
+            common = 100 * row >= PERCENT * (self.sizes[left] + self.sizes[rights] - row)
+            linked = rights[common & (self.labels[rights] != self.labels[left])]
+            for right in linked[np.unique(self.labels[linked], return_index=True)[1]].tolist():
+                self.labels[self.labels == self.labels[right]] = self.labels[left]
+                yield left, right
+
+
+def _block_links(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, texts: pa.Array) -> list[tuple[int, int]]:
+    """Joining links of a block pair; sets of the component with most of them are not compared with each other."""
+    answers = Answers(texts, labels)
+    main = answers.labels == np.bincount(answers.labels).argmax()
+    one, two = sides == 0, sides == 1
+    if two.any():
+        turns = [(one & ~main, two), (two & ~main, one & main)]
+    else:
+        turns = [(~main, one)]
+    found = []
+    for lefts, rights in turns:
+        for left, right in answers.joining(np.flatnonzero(lefts), np.flatnonzero(rights)):
+            a, b = int(nodes[left]), int(nodes[right])
+            found.append((max(a, b), min(a, b)))
+    return found
+
+
+def _blocks(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``head, size, node, n, component``: which classes are to be compared with each other; ``lists`` is ``hash, head, node, n, at``.
+
+    Lists are read in blocks: linked sizes differ by 100 / PERCENT at most, so they are in one block of sizes or the next. A class is left out
+    of a block for whose sizes its position in the list leaves too few shingles, a block goes if no position in it leaves enough for its
+    smallest set or if its classes are connected. Blocks of lists with one head are put together, so that a class comes once.
+    """
+    entries = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ratio = 100 / PERCENT
+    size = F.floor(F.log("n") / F.log(F.lit(ratio)) + F.lit(1e-9)).cast("int")
+    # The largest set that can still link, if this is the first shingle both have.
+    most = F.floor((F.col("n") - F.col("at") + 1) * (100 + PERCENT) / PERCENT) - F.col("n")
+    # A block holds the sets of its size, to be compared among themselves, and those of the next.
+    placed = entries.select("hash", "head", "node", "n", "component", most.alias("most"), F.explode(F.array(size, size - 1)).alias("size"))
+    placed = saved(placed.where(F.col("most") + 1 >= F.pow(F.lit(ratio), F.col("size"))))
+    spread = placed.groupBy("hash", "size").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("most").alias("reach"), F.min("n").alias("least"))
+    open_ = spread.where("x <> y and reach >= least").select("hash", "size")
+    return saved(placed.join(open_, ["hash", "size"]).groupBy("head", "size", "node").agg(F.first("n").alias("n"), F.first("component").alias("component")))
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """``blocks`` by pairs of parts ``one <= two`` of bounded size; ``side`` 1 are the classes of ``two``."""
+    sums = blocks.groupBy("head", "size").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    parts = sums.select("head", "size", F.greatest(F.ceil(F.col("m") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int").alias("parts"))
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = blocks.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    own = salted.join(parts, ["head", "size", "salt"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one, two = F.least("part", "other"), F.greatest("part", "other")
+    return own.select("head", "size", one.alias("one"), two.alias("two"), (F.col("part") > one).cast("int").alias("side"), "node", "component")
+
+
+def _list_links(lists: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Links ``a, b`` that, with those behind ``labels``, connect whatever links connect."""
+    blocks = _blocks(lists, labels)
+    needed = saved(blocks.select("node").distinct().join(classes.select("node", "row"), "node"))
+    names = ["head", "size", "one", "two"]
+    dealt = _dealt(blocks).join(_texts(documents, key, text, needed), "node").repartition(*names).sortWithinPartitions(*names, "node")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not connected yet."""
-    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+        unpress = zstandard.ZstdDecompressor()
 
+        def links(rows: list[tuple]) -> pa.RecordBatch:
+            nodes, labels, sides, data = zip(*rows)
+            texts = pa.array([unpress.decompress(d).decode() for d in data], pa.large_string())
+            found = _block_links(np.array(nodes), np.array(labels), np.array(sides), texts)
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-def _list_pairs(lists: DataFrame, labels: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` (a > b) of lists whose classes are not all connected, after all skips; ``lists`` is ``hash, head, node, n, at``.
+        place, rows = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for here, row in zip(zip(*columns[:4]), zip(*columns[4:])):
+                if here != place:
+                    if len(rows) > 1:
+                        yield links(rows)
+                    place, rows = here, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield links(rows)
 
-    In each list the component with most entries is one side's block that is never joined with itself.
-    """
-    entries = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = entries.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = spread.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("m", "component")).alias("main")).where("k > 1")
-    entries = entries.join(mixed.select("hash", "main"), "hash").join(classes.select("node", "bits"), "node")
-    # Distance to the list's head, where it is known: the answer others are derived from.
-    to_head = known.select(F.col("a").alias("node"), F.col("b").alias("head"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far"))
-    entries = entries.join(to_head, ["node", "head"], "left")
-    # Blocks of similar size: linked sizes differ by 100 / PERCENT at most, so they are in the same or the next block.
-    block = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + F.lit(1e-9)).cast("int")
-    entries = saved(entries.withColumn("block", block))
-    names = ["node", "n", "at", "component", "far", "bits"]
-    left = entries.where("component <> main").select("hash", "main", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), *(F.col(c).alias(f"{c}_a") for c in names))
-    right = entries.select("hash", "block", *(F.col(c).alias(f"{c}_b") for c in names))
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    behind = 1 + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))  # what both can still share, if this is the first shingle they do
-    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("node_a") > F.col("node_b")))
-    near = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    pairs = left.join(right, ["hash", "block"]).where(apart & _enough(behind, n_a, n_b) & near & _allowed())
-    return pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    return saved(dealt.select(*names, "node", "component", "side", "data").mapInArrow(compare, "a long, b long"))
 
 
 def _with_components(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -271,17 +375,11 @@ def _with_components(documents: DataFrame, key: str, text: str) -> DataFrame:
     heads = entries.groupBy("hash").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     lists = saved(entries.join(heads, "hash"))
 
+    # First each class with one head only, then what is not connected by that in the blocks of its lists.
     with_head = _could_link(lists.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), classes)
-    with_head = saved(with_head)
-    # First each class with one head only, then the heads it is not connected with, then what else is left in its lists.
-    known = _checked(with_head.groupBy("a").agg(F.min("b").alias("b")), classes, documents, key, text, None)
-    labels = _labels(known)
-    known = _checked(_apart(with_head, labels), classes, documents, key, text, known)
-    labels = _labels(known)
-    left = saved(_list_pairs(lists, labels, known, classes))
-    if not left.isEmpty():
-        known = _checked(left, classes, documents, key, text, known)
-        labels = _labels(known)
+    links = saved(_links(_verified(saved(with_head.groupBy("a").agg(F.min("b").alias("b"))), classes, documents, key, text)))
+    more = _list_links(lists, components(links), classes, documents, key, text)
+    labels = components(links.unionByName(more))
 
     named = classes.join(labels, "node", "left").select("one", "two", "key", F.coalesce("component", "node").alias("node"))
     smallest = named.groupBy("node").agg(F.min("key").alias("component_id"))
