@@ -12,6 +12,7 @@ from tripweave.llm import language, pieces, quality, secrets, token_files
 from tripweave.llm.common import ALNUM_BYTES, NONSPACE_BYTES, RUN_BYTES, Words
 from tripweave.llm.decontaminate import decontaminate
 from tripweave.llm.line_dedup import Chunks, line_dedup
+from tripweave.llm import shingle_join
 from tripweave.llm.shingle_join import jaccard_components, one_of_each
 from tripweave.runtime import shared_folder
 
@@ -96,6 +97,50 @@ def test_jaccard_chains_across_heads(spark):
     assert sorted(tuple(r) for r in jaccard_components(frame(spark, rows)).collect()) == sorted(plain.jaccard(rows))
 
 
+def variants(n, words, replaced, seed):
+    """Texts of one base with single words replaced, so that pairs lie just below or above the limit."""
+    dice = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    made = []
+    for i in range(n):
+        own = list(base)
+        for k in dice.sample(range(words), replaced):
+            own[k] = f"n{i}_{k}"
+        made.append(" ".join(own))
+    return made
+
+
+@pytest.mark.parametrize("part", [2000, 7])
+def test_jaccard_near_the_limit(spark, monkeypatch, part):
+    monkeypatch.setattr(shingle_join, "PART_SETS", part)  # parts of 7 sets: every block pair is met
+    rows = list(enumerate(variants(60, 300, 4, 1) + variants(60, 300, 9, 2), 1000))
+    got = sorted(tuple(r) for r in jaccard_components(frame(spark, rows)).collect())
+    assert got == sorted(plain.jaccard(rows))
+    assert 2 < len({c for _, _, c in got}) < 120
+
+
+@pytest.mark.parametrize("n", [50, 100])
+def test_joining_links_of_a_block_are_fewer_than_its_sets(n):
+    texts = variants(n, 2000, 25, n)
+    sets = [plain.shingles(t) for t in texts]
+    linked = [[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    found = shingle_join._block_links(np.arange(n), np.arange(n), np.zeros(n, int), pa.array(texts))
+    assert all(linked[a][b] and a > b for a, b in found)
+    want = plain.smallest_reachable(list(range(n)), lambda a, b: linked[a][b])
+    assert len(found) == n - len(set(want))
+    halves = np.arange(n) % 2
+    across = shingle_join._block_links(np.arange(n), np.arange(n), halves, pa.array(texts))
+    assert all(linked[a][b] and halves[a] != halves[b] for a, b in across)
+
+
+def test_answers_are_derived_from_the_set_before():
+    texts = variants(40, 2000, 5, 4)
+    answers = shingle_join.Answers(pa.array(texts), np.arange(40))
+    all_of = np.arange(40)
+    list(answers.joining(all_of, all_of))
+    assert answers.looked_up < 40 * 40 * 2000 / 4  # reading all lists of all sets would be about 40 * 40 * 2000
+
+
 def test_one_of_each(spark, texts):
     rows = list(enumerate(texts, 100))
     by = {i: c for i, n, c in plain.jaccard(rows)}
