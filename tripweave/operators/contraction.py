@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators.network import Network, node_degree
-from tripweave.runtime import checkpoint, checkpoint_observed
+from tripweave.runtime import checkpoint, checkpoint_observed, large
 from tripweave.sources.tables import unique
 
 
 def inner_nodes(links: DataFrame, mandatory: DataFrame) -> DataFrame:
     """Nodes of degree 2 outside ``mandatory(node)``."""
-    return node_degree(links).where("degree = 2").select("node").join(mandatory.select("node"), "node", "left_anti")
+    return node_degree(links).where("degree = 2").select("node").join(large(mandatory.select("node")), "node", "left_anti")
 
 
 def both_directions(links: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def chain_ends(links: DataFrame, mandatory: DataFrame) -> DataFrame:
     """
     inner = inner_nodes(links, mandatory).withColumn("is_inner", F.lit(True))
     ways = checkpoint(
-        both_directions(links).join(inner, F.col("end") == F.col("node"), "left")
+        both_directions(links).join(large(inner), F.col("end") == F.col("node"), "left")
         .withColumn("is_inner", F.coalesce("is_inner", F.lit(False))).drop("node")
     )
     onward = ways.select(
@@ -49,7 +49,7 @@ def chain_ends(links: DataFrame, mandatory: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("ahead"), F.lit(True).alias("fixed"),
     )
     passing = (
-        ways.where("is_inner").join(onward, "end").where("link_id <> end_link")
+        ways.where("is_inner").join(large(onward), "end").where("link_id <> end_link")
         .select("link_id", "forward", "end_link", "end_forward", F.lit(1).cast("long").alias("ahead"), "fixed")
     )
     n_open = F.count_if(~F.col("fixed"))
@@ -60,7 +60,7 @@ def chain_ends(links: DataFrame, mandatory: DataFrame) -> DataFrame:
             F.col("end_link").alias("next_link"), F.col("end_forward").alias("next_forward"),
             F.col("ahead").alias("further"), F.col("fixed").alias("done"),
         )
-        moved = pointer.where("NOT fixed").join(jump, ["end_link", "end_forward"]).select(
+        moved = pointer.where("NOT fixed").join(large(jump), ["end_link", "end_forward"]).select(
             "link_id", "forward", F.col("next_link").alias("end_link"), F.col("next_forward").alias("end_forward"),
             (F.col("ahead") + F.col("further")).alias("ahead"), F.col("done").alias("fixed"),
         )
@@ -68,7 +68,7 @@ def chain_ends(links: DataFrame, mandatory: DataFrame) -> DataFrame:
         pointer, left = checkpoint_observed(pointer.where("fixed").unionByName(moved), n_open=n_open)
         if left["n_open"] == before:
             break
-    return pointer.where("fixed").select("link_id", "forward", "end_link", "ahead").join(ways, ["link_id", "forward"])
+    return pointer.where("fixed").select("link_id", "forward", "end_link", "ahead").join(large(ways), ["link_id", "forward"])
 
 
 def chain_members(links: DataFrame, mandatory: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def chain_members(links: DataFrame, mandatory: DataFrame) -> DataFrame:
         F.max(F.when(F.col("forward"), F.col("is_open"))).alias("open_forward"),
         F.max(F.when(~F.col("forward"), F.col("is_open"))).alias("open_backward"),
     )
-    rows = ends.join(chains, "link_id").where("end_link = far_end AND (chain <> far_end OR forward)")
-    alone = links.join(rows.select("link_id"), "link_id", "left_anti").select(
+    rows = ends.join(large(chains), "link_id").where("end_link = far_end AND (chain <> far_end OR forward)")
+    alone = links.join(large(rows.select("link_id")), "link_id", "left_anti").select(
         F.col("link_id").alias("chain"), "link_id", F.lit(0).cast("long").alias("ahead"), F.col("source_node").alias("start"),
         F.col("target_node").alias("end"), "length", "travel_time", F.lit(True).alias("along"),
         (~F.col("is_oneway")).alias("against"),
@@ -121,6 +121,6 @@ def contract(network: Network, mandatory: DataFrame) -> Network:
     )
     place = F.when(F.col("runs_along"), F.col("n_edges") - F.col("ahead")).otherwise(F.col("ahead") + 1)
     new_members = members.join(
-        merged.select("chain", "n_edges", F.col("along").alias("runs_along")), "chain"
+        large(merged.select("chain", "n_edges", F.col("along").alias("runs_along"))), "chain"
     ).select(F.col("chain").alias("link_id"), F.col("link_id").alias("edge_id"), place.alias("seq"))
     return Network(checkpoint(new_links), checkpoint(new_members)).counted()
