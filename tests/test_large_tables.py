@@ -38,3 +38,9 @@ def test_contraction_sends_no_table_to_all(spark, plans):
     members = small.members.where("seq > 0")
     assert len(plans) > 6 and not any("Broadcast" in plan for plan in plans)
     assert members.count() == N
+
+
+def test_chain_merge_joins_members_by_shuffle(spark):
+    from tripweave.plans.catalog import queries
+
+    assert "Broadcast" not in queries()["chain_merge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
