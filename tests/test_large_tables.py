@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tripweave import Network
+from tripweave import ModelConf, Network
 from tripweave.operators.contraction import contract
+from tripweave.operators.skim import shortest_dist
 
 N = 24
 
@@ -44,3 +45,19 @@ def test_chain_merge_joins_members_by_shuffle(spark):
     from tripweave.plans.catalog import queries
 
     assert "Broadcast" not in queries()["chain_merge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arcs_of_a_large_network_are_not_sent(spark, plans):
+    """By default already some ten megabytes of arcs are too many to send to all in every round."""
+    net = Network.from_edges(line(spark, 120_000))
+    found = shortest_dist(net, spark.createDataFrame([(5,), (60_000,)], "src long"), ModelConf(time_coef=0.0, search_radius=3.0))
+    assert {(r.src, r.node): r.dist for r in found.collect()} == {(s, s + i): abs(i) for s in (5, 60_000) for i in range(-4, 5)}
+    assert not any("Broadcast" in plan for plan in plans)
+
+
+def test_a_hop_moves_offers_only(spark, plans):
+    sources = spark.range(N).withColumnRenamed("id", "src")
+    found = shortest_dist(Network.from_edges(line(spark, N)), sources, ModelConf(time_coef=0.0, broadcast_rows=0))
+    assert {(r.src, r.node): r.dist for r in found.collect()} == {(s, n): abs(s - n) for s in range(N) for n in range(N + 1)}
+    hops = [plan for plan in plans if "Union" in plan and "SortMergeJoin" in plan]
+    assert len(hops) >= N / 2 and all(plan.count("Exchange") == 1 for plan in hops)
