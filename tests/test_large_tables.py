@@ -1,10 +1,12 @@
 """Tables whose size Spark takes to be small are joined by shuffle where only their rows tell how large they are."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tripweave import ModelConf, Network
+from tripweave import Model, ModelConf, Network
 from tripweave.operators.contraction import contract
 from tripweave.operators.skim import shortest_dist
 
@@ -61,3 +63,27 @@ def test_a_hop_moves_offers_only(spark, plans):
     assert {(r.src, r.node): r.dist for r in found.collect()} == {(s, n): abs(s - n) for s in range(N) for n in range(N + 1)}
     hops = [plan for plan in plans if "Union" in plan and "SortMergeJoin" in plan]
     assert len(hops) >= N / 2 and all(plan.count("Exchange") == 1 for plan in hops)
+
+
+def test_a_model_sends_no_table_beyond_its_bound(spark, plans):
+    zones = spark.range(0, N + 1, 4).selectExpr("id AS zone_id", "id AS node_id", "id + 1.0D AS trips")
+    counts = spark.range(0, N, 5).selectExpr("id AS edge_id", "10.0D + id AS traffic")
+    results = []
+    for bound in (0, 1_000):
+        plans.clear()
+        conf = ModelConf(time_coef=0.0, alpha=1.0, beta=-0.3, search_radius=math.inf, broadcast_rows=bound)
+        model = Model(Network.from_edges(line(spark, N)), zones, conf)
+        od = model.gravity_od()
+        counted = model.counted(model.costs, counts).settle()
+        fitted, _, fit = model.gravity_od_simplex((0.0, 0.05, 1.0), counted, 1, 0.1)
+        limit = lambda trips, mode, level: trips * (0.5 if mode == "lo" else 2.0)
+        tables = [
+            od, fitted, model.assign(od), model.assign_v1(od), model.calibrate(od, counted, 1, "PR")[0].select("origin", "destination", "trips"),
+            model.calibrate_lagrange(od, counted, 0, 0, 1.0, limit)["cells"].select("origin", "destination", "trips"),
+            model.paths_with_trips(od).select("origin", "destination", F.size("path")),
+        ]
+        if bound == 0:
+            assert len(plans) > 40 and not any("Broadcast" in plan for plan in plans)
+            assert not any("Broadcast" in t._jdf.queryExecution().executedPlan().toString() for t in tables)
+        results.append([{tuple(r[:-1]): r[-1] for r in t.collect()} for t in tables])
+    assert all(results[0]) and all(a == pytest.approx(b) for a, b in zip(*results, strict=True))
