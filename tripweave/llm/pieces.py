@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -63,6 +64,18 @@ def _fields(data: bytes):
             at += size
 
 
+class Answers(dict):
+    """Asks ``find`` about a key that comes up for the first time, and remembers what it says."""
+
+    def __init__(self, find: Callable) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        found = self[key] = self.find(key)
+        return found
+
+
 @dataclass
 class Transducer:
     """Pieces, byte fallback and normaliser of one model file, compiled for composition."""
@@ -91,10 +104,12 @@ class Transducer:
         if self.kind not in (UNIGRAM, BPE) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces must be of a unigram or pair-merging model, with blank marks in front only")
         self.cut = _AT_LETTERS if all(len(_AT_LETTERS.findall(p)) == 1 for p in self.ids) else _AT_MARKS
-        self.longest = max(map(len, self.ids))
+        self.reach: dict[str, int] = {}  # the length of the longest piece that begins with these two characters
+        for piece in self.ids:
+            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
         self.worst = min(self.scores.values()) - UNKNOWN_PENALTY
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = Answers(lambda part: np.array(self.best_path(part), "<i4").tobytes())
         self.by_id = {i: p for p, i in self.ids.items()}
 
     def _add(self, piece: str, score: float, kind: int) -> None:
@@ -133,9 +148,9 @@ class Transducer:
 
     def _arcs(self, part: str, at: int) -> list[tuple[int, int]]:
         """Places reached from ``at`` and the piece read on the way, the shortest first."""
-        ids = self.ids
-        arcs = [(end, ids[part[at:end]]) for end in range(at + 1, min(at + self.longest, len(part)) + 1) if part[at:end] in ids]
-        return arcs if part[at] in ids else [(at + 1, FALLBACK), *arcs]
+        get, most = self.ids.get, at + self.reach.get(part[at : at + 2], 1)
+        arcs = [(end, piece) for end in range(at + 1, min(most, len(part)) + 1) if (piece := get(part[at:end])) is not None]
+        return arcs if arcs and arcs[0][0] == at + 1 else [(at + 1, FALLBACK), *arcs]
 
     def _only_path(self, part: str) -> list[tuple[int, int]]:
         """The path of weight 0: depth first, long pieces first; a state without a way on is not entered again."""
@@ -185,12 +200,9 @@ class Transducer:
         if not text:
             return b""
         parts = self.cut.findall(MARK * self.prefix + text.replace(" ", MARK))
-        known = self.parts
-        if len(known) > KEPT_PARTS:
-            known.clear()
-        for part in set(parts).difference(known):
-            known[part] = np.array(self.best_path(part), "<i4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        if len(self.parts) > KEPT_PARTS:
+            self.parts.clear()
+        return b"".join(map(self.parts.__getitem__, parts))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
