@@ -2,10 +2,12 @@
 
 import base64
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from tests.llm import plain
 from tripweave.llm import language, pieces, quality, secrets, token_files
@@ -315,6 +317,68 @@ def test_language(spark):
     assert language.language_id(docs.limit(0)).count() == 0
 
 
+def language_content():
+    dice = random.Random(4)
+    words = {"xx": ["balo", "mi", "Ola"], "yy": ["krä", "ösh", "tü"], "zz": ["balo", "kra", "tu"]}
+    text = lambda lang, n: " ".join("".join(dice.choices(words[lang], k=2)) for _ in range(n))
+    sample = {lang: [text(lang, 400) for _ in range(count)] for lang, count in (("xx", 9), ("yy", 7), ("zz", 1))}
+    texts = [text(lang, n) for n in (1, 8, 30, 70, 90, 500, 2500) for lang in words]
+    odd = [None, "", "12 !!", "½", "a", "\u00a0é\u2003É1É_é", "ΟΔΟΣ'Α ΟΔΟΣ", "İl", "x" * 9001, texts[3], texts[3] + texts[13], "kra" * 199 + "k", "kra" * 199]
+    return language.dictionaries(sample, 2_000), [*texts[:9], *odd, *texts[9:]]
+
+
+def plain_language(content, text):
+    """One text alone: each dictionary in turn, the sizes added up."""
+    if text is None or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0, True
+    data = b" " + re.sub(r"[\W\d_]+", " ", text).lower().strip().encode() + b" "
+    level, used = (19, 6) if len(data) < 600 else (6, 2)
+    sizes = []
+    for parts in content.values():
+        total = 0
+        for part in parts[:used]:
+            shared = zstandard.ZstdCompressionDict(part, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            shared.precompute_compress(level=level)
+            machine = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += sum(len(machine.compress(data[i : i + 4_000])) for i in range(0, len(data), 4_000))
+        sizes.append(total / len(parts[:used]))
+    first, second = sorted(sizes)[:2]
+    return list(content)[sizes.index(first)], 1 / sum(2.0 ** max(first - x, -60) for x in sizes), second - first < 0.02 * len(data)
+
+
+def test_language_of_each_text_is_that_of_the_text_alone(spark):
+    content, texts = language_content()
+    expected = [plain_language(content, t) for t in texts]
+    assert {e[0] for e in expected} == {"xx", "yy", "zz", "und"} and {e[2] for e in expected} == {True, False}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in language.identify(docs, content).collect()}
+    for i, (lang, score, rejected) in enumerate(expected):
+        assert (got[i].lang_pred, got[i].rejected) == (lang, rejected) and got[i].score == pytest.approx(score, rel=1e-12)
+    assert len(got) == len(texts)
+
+
+def test_language_takes_each_dictionary_once_for_all_texts(monkeypatch):
+    turns = []
+
+    class Recorded:
+        def __init__(self, **settings):
+            self.inner = real(**settings)
+
+        def compress(self, data):
+            if not turns or turns[-1] is not self:
+                turns.append(self)
+            return self.inner.compress(data)
+
+    real = zstandard.ZstdCompressor
+    monkeypatch.setattr(zstandard, "ZstdCompressor", Recorded)
+    content, texts = language_content()
+    assert [a[0] for a in language.Classifier(content)(texts)] == [plain_language(content, t)[0] for t in texts]
+    turns.clear()
+    language.Classifier(content)(texts)
+    # Six dictionaries (one for the language with one text) for short texts, two for longer ones.
+    assert len(turns) == len(set(map(id, turns))) == (6 + 6 + 1) + (2 + 2 + 1)
+
+
 def test_machine_uses_the_sum_of_squares():
     dice = np.random.default_rng(1)
     model = quality.Machine(0.3, dice.normal(size=quality.WIDTH), dice.normal(size=(quality.WIDTH, quality.FACTORS)))

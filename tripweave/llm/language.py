@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -23,18 +23,24 @@ from tripweave.llm.common import map_runs
 
 SAMPLE_TEXTS = 60  # training texts of a language that its dictionaries are cut from: a bounded sample
 DICTIONARY_BYTES = 16_000
-DICTIONARIES = 6  # per language, for short texts; longer ones use the first two
+DICTIONARIES, LONG_DICTIONARIES = 6, 2  # per language, for short texts and for longer ones
 PIECE_BYTES = 4_000
 SHORT_BYTES = 600
 LEVEL, SHORT_LEVEL = 6, 19
 NARROW = 0.02  # rejected if the runner-up is larger by less than this share of the text
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_OTHERS = re.compile(r"[\W\d_]+")
+_WIDE_OTHER = re.compile(r"[^\x00-\x7F](?<![^\W\d_])")
+# ASCII letters in lower case, a blank for other ASCII, the bytes of wider characters as they are.
+_PLAIN = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
 def normalised(text: str) -> bytes:
-    return b" " + _OTHERS.sub(" ", text).lower().strip().encode() + b" "
+    """Letters in lower case, one blank for each run of anything else and at both ends."""
+    data = text.encode().translate(_PLAIN)
+    if not text.isascii():
+        data = _WIDE_OTHER.sub(" ", data.decode()).lower().encode()
+    return b" " + b" ".join(data.split()) + b" "
 
 
 def held_out(key: str, parts: int, part: int) -> Column:
@@ -80,29 +86,47 @@ class Classifier:
         import zstandard as z
 
         self.langs = list(content)
-        self.machines = []
-        for parts in content.values():
-            made: dict[int, list] = {LEVEL: [], SHORT_LEVEL: []}
-            for part in parts:
-                for level in (LEVEL, SHORT_LEVEL):
+        self.machines: dict[int, list[list]] = {LEVEL: [], SHORT_LEVEL: []}  # by level and language
+        for level, used in ((LEVEL, LONG_DICTIONARIES), (SHORT_LEVEL, DICTIONARIES)):
+            for parts in content.values():
+                made = []
+                for part in parts[:used]:
                     shared = z.ZstdCompressionDict(part, dict_type=z.DICT_TYPE_RAWCONTENT)
                     shared.precompute_compress(level=level)
-                    made[level].append(z.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self.machines.append(made)
-
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score and whether the answer is rejected."""
-        if text is None or not _LETTER.search(text) or not self.langs:
-            return UNDETERMINED, 0.0, True
-        data = normalised(text)
-        pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-        level, used = (SHORT_LEVEL, DICTIONARIES) if len(data) < SHORT_BYTES else (LEVEL, 2)
-        machines = [made[level][:used] for made in self.machines]
-        sizes = np.array([sum(len(m.compress(p)) for p in pieces for m in made) / len(made) for made in machines])
+                    made.append(z.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False))
+                self.machines[level].append(made)
+
+    def __call__(self, texts: Sequence[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score and whether the answer is rejected, for each text.
+
+        A dictionary's tables are larger than a core's cache, so each compresses the pieces of all texts before the next has its turn.
+        """
+        answers = [(UNDETERMINED, 0.0, True) if text is None or not _LETTER.search(text) or not self.langs else None for text in texts]
+        pieces: dict[int, list[tuple[int, bytes]]] = {level: [] for level in self.machines}
+        lengths = {}
+        for at, (text, answer) in enumerate(zip(texts, answers)):
+            if answer is None:
+                data = normalised(text)
+                lengths[at] = len(data)
+                pieces[SHORT_LEVEL if len(data) < SHORT_BYTES else LEVEL] += [(at, data[i : i + PIECE_BYTES]) for i in range(0, len(data), PIECE_BYTES)]
+        sizes = np.zeros((len(answers), len(self.langs)))
+        for level, by_lang in self.machines.items():
+            for lang, made in enumerate(by_lang):
+                sums: dict[int, int] = {}
+                for m in made:
+                    for at, piece in pieces[level]:
+                        sums[at] = sums.get(at, 0) + len(m.compress(piece))
+                for at, total in sums.items():
+                    sizes[at, lang] = total / len(made)
+        for at, length in lengths.items():
+            answers[at] = self._answer(sizes[at], length)
+        return answers
+
+    def _answer(self, sizes: np.ndarray, length: int) -> tuple[str, float, bool]:
         order = np.argsort(sizes, kind="stable")
-        gap = float(sizes[order[1]] - sizes[order[0]]) if len(order) > 1 else float(len(data))
+        gap = float(sizes[order[1]] - sizes[order[0]]) if len(order) > 1 else float(length)
         score = 1.0 / float(np.exp2(np.clip(sizes[order[0]] - sizes, -60, 0)).sum())
-        return self.langs[order[0]], score, gap < NARROW * len(data)
+        return self.langs[order[0]], score, gap < NARROW * length
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +143,7 @@ def identify(documents: DataFrame, content: dict[str, list[bytes]], key: str = "
     sent = documents.sparkSession.sparkContext.broadcast(tuple((k, tuple(v)) for k, v in content.items()))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        answers = list(map(_classifier(sent.value), batch.column(1).to_pylist()))
+        answers = _classifier(sent.value)(batch.column(1).to_pylist())
         made = [pa.array([a[i] for a in answers], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
         return pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, "lang_pred", "score", "rejected"])
 
